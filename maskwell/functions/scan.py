@@ -38,7 +38,8 @@ class Rule:
     text before the match) and ``hit.after``; NULL means the match is not reported.
     ``shape`` is a cheap pattern the whole text must contain, and ``needs`` are words of
     which the text must contain one, before the scan is worth running. ``shape`` may also be
-    a plain literal, written ``=literal``. ``family`` names a test shared by many rules.
+    a plain literal, written ``=literal``. ``family`` names a test shared by many rules, ``guard`` a condition on the match that
+    rules of one pattern share and that is evaluated once for all of them.
     """
 
     type: str
@@ -49,6 +50,7 @@ class Rule:
     needs: tuple[str, ...] = ()
     name: str = ""
     family: str | None = None
+    guard: str = "true"
 
 
 def no_spans() -> str:
@@ -56,16 +58,14 @@ def no_spans() -> str:
 
 
 def walk(text: str, pattern: str, emit: str, out_type: str) -> str:
-    """Fold over the matches of ``pattern``; ``emit`` is an array to append per match."""
-    p = quote(pattern)
+    """Fold over the matches of ``pattern`` (SQL); ``emit`` is an array to append per match."""
     start = "named_struct('i', 0, 'at', 0, 'tail', '', " \
-        f"'gaps', split({text}, {p}, -1), 'out', CAST(array() AS {out_type}))"
+        f"'gaps', split({text}, {pattern}, -1), 'out', CAST(array() AS {out_type}))"
     before = "concat(acc.tail, get(acc.gaps, acc.i))"
     hit = (
         "named_struct('value', v, "
         "'digits', regexp_replace(v, '[^0-9]', ''), "
         "'start', acc.at + length(get(acc.gaps, acc.i)), "
-        f"'before', {before}, "
         f"'context', lower(right({before}, {CONTEXT_CHARS})), "
         "'after', get(acc.gaps, acc.i + 1))"
     )
@@ -73,28 +73,53 @@ def walk(text: str, pattern: str, emit: str, out_type: str) -> str:
     step = let(
         "hit",
         hit,
-        "named_struct('i', acc.i + 1, 'at', hit.start + length(hit.value), "
-        f"'tail', right(concat(hit.before, hit.value), {CONTEXT_CHARS}), "
+        "named_struct('i', acc.i + 1, 'at', hit.start + length(v), "
+        f"'tail', right(concat(acc.tail, get(acc.gaps, acc.i), v), {CONTEXT_CHARS}), "
         f"'gaps', acc.gaps, 'out', {appended})",
     )
     return (
-        f"aggregate(regexp_extract_all({text}, {p}, 0), {start}, "
+        f"aggregate(regexp_extract_all({text}, {pattern}, 0), {start}, "
         f"(acc, v) -> {step}, acc -> acc.out)"
     )
 
 
-def scan_rules(text: str, rules: Sequence[Rule]) -> str:
-    """All accepted spans of rules that share one pattern."""
-    candidates = ", ".join(
-        f"named_struct('o', {r.order}, 't', {quote(r.type)}, 'c', {r.confidence})"
-        for r in rules
+CANDIDATES = "array<struct<o:int,t:string,c:double>>"
+
+
+def _candidates(rules: Sequence[Rule]) -> str:
+    """The verdicts of rules that share one pattern on one match."""
+    by_guard: dict[str, list[Rule]] = {}
+    for rule in rules:
+        by_guard.setdefault(rule.guard, []).append(rule)
+    parts = []
+    for guard, members in by_guard.items():
+        verdicts = ", ".join(
+            f"named_struct('o', {r.order}, 't', {quote(r.type)}, 'c', {r.confidence})"
+            for r in members
+        )
+        every = f"array({verdicts})"
+        if guard != "true":
+            every = f"if({guard}, {every}, CAST(array() AS {CANDIDATES}))"
+        parts.append(every)
+    return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+
+
+def scan_groups(text: str, chosen: str, groups: Sequence[Sequence[Rule]]) -> str:
+    """Scan a text with each chosen pattern and return all accepted spans.
+
+    ``chosen`` is SQL for an array of ``struct<id,p>``: which rule groups are worth running
+    on this text, with their pattern. The walk stands in the plan once, however many
+    patterns there are, which keeps the plan small enough to ship to every task.
+    """
+    verdicts = " ".join(
+        f"WHEN {i} THEN {_candidates(rules)}" for i, rules in enumerate(groups)
     )
     emit = (
-        f"transform(filter(array({candidates}), r -> r.c > 0), r -> named_struct("
+        f"transform(filter(CASE g.id {verdicts} END, r -> r.c > 0), r -> named_struct("
         "'start', hit.start, 'rank', -r.c, 'ord', r.o, "
         "'end', hit.start + length(hit.value), 'type', r.t, 'value', hit.value))"
     )
-    return walk(text, rules[0].pattern, emit, f"array<{RAW_SPAN}>")
+    return f"flatten(transform({chosen}, g -> {walk(text, 'g.p', emit, f'array<{RAW_SPAN}>')}))"
 
 
 def gate(text: str, lower_text: str, rules: Sequence[Rule]) -> str:
@@ -124,7 +149,7 @@ def match_ranges(text: str, pattern: str) -> str:
     emit = (
         "array(named_struct('start', hit.start, 'end', hit.start + length(hit.value)))"
     )
-    return walk(text, pattern, emit, RANGES)
+    return walk(text, quote(pattern), emit, RANGES)
 
 
 def blank_matches(text: str, pattern: str) -> str:

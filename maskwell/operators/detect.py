@@ -14,7 +14,7 @@ from maskwell.functions.scan import (
     gate,
     match_ranges,
     no_spans,
-    scan_rules,
+    scan_groups,
 )
 from maskwell.functions.sqltext import let, quote
 from maskwell.rules.credentials import credential_rules
@@ -33,9 +33,9 @@ def default_rules() -> list[Rule]:
 
 def _by_pattern(rules: Sequence[Rule]) -> list[list[Rule]]:
     """Rules that share a pattern share one scan."""
-    groups: dict[str, list[Rule]] = {}
+    groups: dict[tuple, list[Rule]] = {}
     for rule in rules:
-        groups.setdefault(rule.pattern, []).append(rule)
+        groups.setdefault((rule.pattern, rule.family), []).append(rule)
     return list(groups.values())
 
 
@@ -46,47 +46,49 @@ FAMILIES = {
     "number": LONG_NUMBER,
     # any digit at all
     "digit": "[0-9]",
-    # an unbroken run of token characters
-    "token": r"(?<![A-Za-z0-9_.+/\-])[A-Za-z0-9_.+/\-]{15}",
+    # an unbroken run of at least 15 token characters with a digit in it
+    "token": r"(?<![A-Za-z0-9_.+/\-])[A-Za-z_.+/\-]*+[0-9][A-Za-z0-9_.+/\-]*+"
+    r"(?<=[A-Za-z0-9_.+/\-]{15})",
 }
 
 
-def _block(text: str, groups: Sequence[Sequence[Rule]]) -> list[str]:
-    parts = []
-    for group in groups:
-        test = gate(text, "low", group)
-        scan = scan_rules(text, group)
-        parts.append(scan if test == "true" else f"if({test}, {scan}, {no_spans()})")
-    return parts
-
-
-def _joined(parts: Sequence[str]) -> str:
-    if not parts:
-        return no_spans()
-    return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+CHOSEN = "array<struct<id:int,p:string>>"
 
 
 def raw_spans_sql(text: str, rules: Sequence[Rule], phrases: bool = True) -> str:
     """Every accepted span, before overlaps are resolved."""
-    families: dict[str | None, list[Rule]] = {}
-    for rule in rules:
-        families.setdefault(rule.family, []).append(rule)
-
-    def inside(family: str, extra: Sequence[str] = ()) -> list[str]:
-        parts = [*_block(text, _by_pattern(families.get(family, []))), *extra]
+    groups = _by_pattern(rules)
+    families: dict[str | None, list[str]] = {}
+    for i, group in enumerate(groups):
+        entry = f"named_struct('id', {i}, 'p', {quote(group[0].pattern)})"
+        test = gate(text, "low", group)
+        families.setdefault(group[0].family, []).append(
+            entry if test == "true" else f"if({test}, {entry}, NULL)"
+        )
+
+    def inside(family: str, *extra: str) -> str:
+        own = families.get(family, [])
+        parts = [f"array({', '.join(own)})"] if own else []
+        parts += [e for e in extra if e]
         if not parts:
-            return []
+            return ""
+        every = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
         probe = f"{text} RLIKE {quote(FAMILIES[family])}"
-        return [f"if({probe}, {_joined(parts)}, {no_spans()})"]
+        return f"if({probe}, {every}, CAST(array() AS {CHOSEN}))"
 
-    parts = [
-        *_block(text, _by_pattern(families.get(None, []))),
-        *inside("digit", inside("number")),
-        *inside("token"),
-    ]
+    always = families.get(None, [])
+    lists = [f"array({', '.join(always)})"] if always else []
+    lists += [x for x in (inside("digit", inside("number"), inside("token")),) if x]
+    parts = []
+    if lists:
+        every = lists[0] if len(lists) == 1 else f"concat({', '.join(lists)})"
+        parts.append(scan_groups(text, f"array_compact({every})", groups))
     if phrases:
         parts.append(f"if({phrase_gate(text)}, {phrase_spans(text)}, {no_spans()})")
-    return f"coalesce({let('low', f'lower({text})', _joined(parts))}, {no_spans()})"
+    if not parts:
+        return no_spans()
+    every = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+    return f"coalesce({let('low', f'lower({text})', every)}, {no_spans()})"
 
 
 def resolve_sql(raw: str) -> str:

@@ -8,8 +8,6 @@ high entropy. Callers can replace any of these through the rule table.
 
 from __future__ import annotations
 
-import re
-
 from maskwell.functions.checks import entropy
 from maskwell.functions.scan import Rule
 from maskwell.functions.sqltext import (
@@ -32,7 +30,7 @@ VENDORS: tuple[tuple[str, int, tuple[str, ...], str | None], ...] = (
     ("AWS_ACCESS_KEY", 8, (), r"AKIA[0-9A-Z]{16}"),
     ("AWS_SECRET_KEY", 9, ("aws",), None),
     ("GITHUB_TOKEN", 10, (), r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    ("STRIPE_KEY", 11, (), r"(?:[sr]k_(?:live|test)_|whsec_)[A-Za-z0-9]{20,}"),
+    ("STRIPE_KEY", 11, (), r"(?:sk_live_|sk_test_|rk_live_|rk_test_|whsec_)[A-Za-z0-9]{20,}"),
     ("OPENAI_KEY", 17, ("openai",), r"sk-(?:proj-|svcacct-)[A-Za-z0-9_\-]{20,}"),
     ("ANTHROPIC_KEY", 18, ("anthropic",), r"sk-ant-[A-Za-z0-9_\-]{20,}"),
     ("GOOGLE_AI_KEY", 19, ("google ai", "google_ai", "gemini"), r"AIza[0-9A-Za-z_\-]{35}"),
@@ -96,22 +94,31 @@ def secret_like(value: str) -> str:
 
 
 def prefix_rules() -> list[Rule]:
+    """Published prefix shapes.
+
+    One scan serves all of them and the value tells which vendor it is. Their tokens are
+    random and long, so a run of token characters without any digit is not looked at. The
+    upper-case access key is short enough to lack digits and has a scan of its own.
+    """
     rules = []
-    for type_, order, _, shape in VENDORS:
-        if shape:
-            # The plain text before the first pattern character, if it says enough.
-            head = re.split(r"[\[(\\]", shape, maxsplit=1)[0]
-            rules.append(
-                Rule(
-                    type_,
-                    rf"{WORD_START}(?:{shape}){WORD_END}",
-                    PREFIX_CONFIDENCE,
-                    order,
-                    shape=f"={head}" if len(head) >= 3 else shape,
-                    name="prefix",
-                    family="token",
-                )
+    shapes = [(t, o, shape) for t, o, _, shape in VENDORS if shape]
+    shared = [x for x in shapes if x[0] != "AWS_ACCESS_KEY"]
+    pattern = rf"{WORD_START}(?:{'|'.join(s for _, _, s in shared)}){WORD_END}"
+    for type_, order, shape in shapes:
+        alone = type_ == "AWS_ACCESS_KEY"
+        rules.append(
+            Rule(
+                type_,
+                f"{WORD_START}{shape}{WORD_END}" if alone else pattern,
+                PREFIX_CONFIDENCE
+                if alone
+                else f"CASE WHEN hit.value RLIKE {quote(f'^(?:{shape})$')} THEN {PREFIX_CONFIDENCE} END",
+                order,
+                shape="=AKIA" if alone else None,
+                name="prefix",
+                family=None if alone else "token",
             )
+        )
     return rules
 
 
@@ -124,9 +131,9 @@ def keyed_rules() -> list[Rule]:
                 Rule(
                     type_,
                     TOKEN,
-                    f"CASE WHEN {contains_any('hit.context', words)} "
-                    f"AND {secret_like('hit.value')} THEN {KEYED_CONFIDENCE} END",
+                    f"CASE WHEN {contains_any('hit.context', words)} THEN {KEYED_CONFIDENCE} END",
                     order,
+                    guard=secret_like("hit.value"),
                     needs=words,
                     name="keyed",
                     family="token",
@@ -189,8 +196,9 @@ def generic_rules() -> list[Rule]:
         Rule(
             "GENERIC_API_KEY",
             token,
-            f"CASE WHEN (hit.context RLIKE {quote(named)}) AND {good} THEN 0.90D END",
-            12,
+            f"CASE WHEN hit.context RLIKE {quote(named)} THEN 0.90D END",
+            guard=good,
+            order=12,
             needs=("key", "secret", "token"),
             name="assignment",
             family="token",
@@ -198,8 +206,9 @@ def generic_rules() -> list[Rule]:
         Rule(
             "GENERIC_API_KEY",
             token,
-            f"CASE WHEN (hit.context RLIKE {quote(env)}) AND {good} THEN 0.88D END",
-            14,
+            f"CASE WHEN hit.context RLIKE {quote(env)} THEN 0.88D END",
+            guard=good,
+            order=14,
             needs=("=",),
             name="environment",
             family="token",
@@ -208,8 +217,9 @@ def generic_rules() -> list[Rule]:
             "GENERIC_API_KEY",
             TOKEN,
             f"CASE WHEN length(hit.value) >= 32 AND {contains_any('hit.context', bare_words)} "
-            f"AND {good} THEN 0.80D END",
+            "THEN 0.80D END",
             15,
+            guard=good,
             needs=bare_words,
             name="entropy",
             family="token",

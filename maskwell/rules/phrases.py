@@ -107,12 +107,11 @@ def phrase_pattern(phrases: tuple[str, ...]) -> str:
     return f"(?i){PHRASE_START}{alternation(phrases)}"
 
 
-def _scan(text: str, pattern: str, following: str, emit: str) -> str:
+def _scan(text: str, pattern: str, emit: str) -> str:
     """Walk the phrases; ``found`` is what the look-ahead captured after each."""
-    ahead = f"{pattern}(?=({following}))"
-    captured = f"regexp_extract_all({text}, {quote(ahead)}, 1)"
+    captured = f"regexp_extract_all({text}, {pattern}, 1)"
     body = let("found", "get(caught, acc.i)", emit)
-    return let("caught", captured, walk(text, ahead, body, f"array<{PHRASE_SPAN}>"))
+    return let("caught", captured, walk(text, pattern, body, f"array<{PHRASE_SPAN}>"))
 
 
 def _span(seq: str, start: str, value: str, type_: str) -> str:
@@ -174,56 +173,46 @@ def free_text(text: str) -> str:
             ),
         ),
     )
-    return _scan(text, phrase_pattern(every), following, emit)
+    return _scan(text, quote(f"{phrase_pattern(every)}(?=({following}))"), emit)
 
 
-def shaped(text: str, seq: int, group: PhraseGroup) -> str:
-    """A value of a fixed shape right after the phrase."""
-    if group.phrases == ("i am",):
-        digits = "regexp_extract(found, '[0-9]+', 0)"
-        start = "(hit.start + length(hit.value) + locate(" + digits + ", found) - 1)"
-        emit = _span(str(seq), start, digits, quote(group.type))
-        pattern = phrase_pattern(group.phrases)
-        return _scan(text, pattern, group.shape or "", emit)
+def shaped(text: str) -> str:
+    """Values of a fixed shape right after their phrase."""
+    entries, checks_by_seq = [], []
+    for seq, group in enumerate(PHRASES):
+        if group.shape is None:
+            continue
+        # Only the phrase ignores case; the value keeps its own rules.
+        phrase = f"{PHRASE_START}(?i:{alternation(group.phrases)})"
+        lead = "" if group.phrases == ("i am",) else r"[ \t]*+"
+        ahead = f"(?=({lead}{group.shape}))"
+        entries.append(
+            f"if({text} RLIKE {quote(phrase + ahead)}, named_struct('seq', {seq}, "
+            f"'type', {quote(group.type)}, 'p', {quote(phrase + ahead)}), NULL)"
+        )
+        if group.check:
+            checks_by_seq.append(f"WHEN {seq} THEN {group.check.replace('found', 'val')}")
+    value = "if(g.type = 'AGE', regexp_extract(found, '[0-9]+', 0), regexp_replace(found, '^[ \\t]+', ''))"
     emit = let(
-        "lead",
-        r"length(found) - length(regexp_replace(found, '^[ \\t]+', ''))",
-        _span(
-            str(seq),
-            "(hit.start + length(hit.value) + lead)",
-            "substr(found, lead + 1)",
-            quote(group.type),
-        ),
+        "val",
+        value,
+        f"if(CASE g.seq {' '.join(checks_by_seq)} ELSE true END, "
+        + _span("g.seq", "(hit.start + length(hit.value) + locate(val, found) - 1)", "val", "g.type")
+        + f", {_empty()})",
+    )
+    return (
+        f"flatten(transform(array_compact(array({', '.join(entries)})), "
+        f"g -> {_scan(text, 'g.p', emit)}))"
     )
-    if group.check:
-        check = group.check.replace("found", "substr(found, lead + 1)")
-        emit = let(
-            "lead",
-            r"length(found) - length(regexp_replace(found, '^[ \\t]+', ''))",
-            f"if({check}, "
-            + _span(
-                str(seq),
-                "(hit.start + length(hit.value) + lead)",
-                "substr(found, lead + 1)",
-                quote(group.type),
-            )
-            + f", {_empty()})",
-        )
-    # The value's own letters keep their case rules: only the phrase ignores case.
-    pattern = f"{PHRASE_START}(?i:{alternation(group.phrases)})"
-    return _scan(text, pattern, rf"[ \t]*+{group.shape}", emit)
 
 
 def phrase_spans(text: str) -> str:
     """All announced values; of overlapping ones of a type the earliest phrase wins."""
     free = tuple(p for g in PHRASES if g.shape is None for p in g.phrases)
-    parts = [f"if({text} RLIKE {quote(phrase_pattern(free))}, {free_text(text)}, {_empty()})"]
-    for seq, group in enumerate(PHRASES):
-        if group.shape is not None:
-            probe = f"{PHRASE_START}(?i:{alternation(group.phrases)})"
-            parts.append(
-                f"if({text} RLIKE {quote(probe)}, {shaped(text, seq, group)}, {_empty()})"
-            )
+    parts = [
+        f"if({text} RLIKE {quote(phrase_pattern(free))}, {free_text(text)}, {_empty()})",
+        shaped(text),
+    ]
     overlap = (
         "exists(kept, k -> k.type = s.type AND s.start < k.end AND s.end > k.start)"
     )
