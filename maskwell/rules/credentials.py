@@ -89,7 +89,7 @@ DATABASE_SCHEMES = (
 def secret_like(value: str) -> str:
     return (
         f"({value} RLIKE '[A-Za-z]' AND {value} RLIKE '[0-9]' "
-        f"AND {entropy(value)} >= {MIN_ENTROPY}D)"
+        f"AND round({entropy(value)}, 6) >= {MIN_ENTROPY}D)"
     )
 
 
