@@ -54,7 +54,9 @@ def main():
     import __spark_entry__ as entry
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:]
+    names = [n for n in sys.argv[2:]]
+    skip = [n[1:] for n in names if n.startswith("~")]
+    names = [n for n in names if not n.startswith("~")]
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
@@ -69,7 +71,7 @@ def main():
     sqls = entry.oracle_sql()
     bad = []
     for name, query in entry.queries().items():
-        if names and not any(n in name for n in names):
+        if any(n in name for n in skip) or names and not any(n in name for n in names):
             continue
         try:
             ok, note = compare(spark, con, name, query, sqls.get(name), sf_dir)
