@@ -350,8 +350,8 @@ def validate_payload(df: DataFrame, provider="provider", body="body", out="valid
 def json_escaped(column: str) -> str:
     """A string as it stands inside a JSON document, without the quotes."""
     return (
-        f"substr(to_json(named_struct('v', {column})), 6, "
-        f"length(to_json(named_struct('v', {column}))) - 7)"
+        f"substr(to_json(named_struct('v', {column})), 7, "
+        f"length(to_json(named_struct('v', {column}))) - 8)"
     )
 
 
