@@ -11,6 +11,9 @@ from maskwell.operators import detect as det
 from maskwell.plans.chat_queries import chat_oracles, chat_queries
 from maskwell.plans.content_queries import content_oracles, content_queries
 from maskwell.plans.planted import PLANTED, planted
+from maskwell.plans.stream_queries import stream_oracles, stream_queries
+
+SMALL_DIR = "/root/testdata/sf0.001"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,10 +52,10 @@ def found_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"found_by_type": found_by_type, **detector_queries(), **chat_queries(), **content_queries()}
+    return {"found_by_type": found_by_type, **detector_queries(), **chat_queries(), **content_queries(), **stream_queries()}
 
 
 def oracle_sql() -> dict[str, str]:
     from maskwell.plans.oracle import identifier_oracles
 
-    return {**identifier_oracles(), **chat_oracles(), **content_oracles()}
+    return {**identifier_oracles(), **chat_oracles(), **content_oracles(), **stream_oracles()}

@@ -43,7 +43,10 @@ _MODEL_CONF = "round(0.5 + (doc_id % 50) / 100.0, 2)"
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return as_chat(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+def as_chat(orders: DataFrame) -> DataFrame:
     return orders.selectExpr(*(portable(c, "spark") for c in CHAT)).withColumn(
         "session_id", F.col("session_id").cast("string")
     )

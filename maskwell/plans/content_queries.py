@@ -325,7 +325,10 @@ _HOSTS = {
 
 
 def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return as_talk(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def as_talk(base: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(p) for p in PROVIDERS])
     return base.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
@@ -382,6 +385,10 @@ def q_scrub_payload(spark, sf_dir):
 
 
 def streams(spark, sf_dir):
+    return as_streams(talk(spark, sf_dir))
+
+
+def as_streams(answers):
     """Each answer as an event stream of 40-character pieces with a marker and a straggler."""
     piece = {
         "CHATGPT": "to_json(named_struct('message', named_struct('author', named_struct('role', 'assistant'), 'content', named_struct('parts', array(p)))))",
@@ -403,7 +410,7 @@ def streams(spark, sf_dir):
         f"element_at(transform(array('late'), p -> CASE provider {cases} END), 1), chr(10))"
     )
     solid = F.regexp_replace("text", r"\s+", "_")
-    return talk(spark, sf_dir).withColumn("text", solid).select(
+    return answers.withColumn("text", solid).select(
         F.col("id").alias("response_id"), "provider", F.expr(frames).alias("stream")
     )
 

@@ -47,7 +47,9 @@ def latest_versions(drafts: DataFrame, quiet_ms: int = QUIET_MS) -> DataFrame:
     ``drafts`` has ``doc_id``, ``version`` and ``text``. Older versions that arrive late
     are dropped. Within a batch only the newest row of a document is shuffled on.
     """
-    newest = drafts.select("doc_id", "version", "text")
+    newest = drafts.select(
+        F.col("doc_id").cast("string"), F.col("version").cast("long"), "text"
+    )
 
     def keep(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -74,21 +76,22 @@ def latest_versions(drafts: DataFrame, quiet_ms: int = QUIET_MS) -> DataFrame:
     )
 
 
-def session_numbers(spans: DataFrame, ttl_hours: int = MAP_TTL_HOURS) -> DataFrame:
+def session_numbers(spans: DataFrame, ttl_hours: int | None = MAP_TTL_HOURS) -> DataFrame:
     """New placeholders as they appear. Needs the RocksDB state store.
 
     ``spans`` is in row form with session, turn, start, type and value. Numbers follow
     (turn, start) within a batch; batches are numbered in the order they come. The class is
-    local so that it travels to the workers with the plan.
+    local so that it travels to the workers with the plan. Without ``ttl_hours`` nothing is
+    forgotten.
     """
 
     class SessionNumbers(StatefulProcessor):
         """Numbers of the values of one session and label, forgotten after a day."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            hours = ttl_hours * 3600 * 1000
-            self.known = handle.getMapState("known", "value string", "n int", hours)
-            self.last = handle.getValueState("last", "n int", hours)
+            life = ttl_hours * 3600 * 1000 if ttl_hours else None
+            self.known = handle.getMapState("known", "value string", "n int", life)
+            self.last = handle.getValueState("last", "n int", life)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             session, label = key
@@ -118,14 +121,15 @@ def session_numbers(spans: DataFrame, ttl_hours: int = MAP_TTL_HOURS) -> DataFra
         statefulProcessor=SessionNumbers(),
         outputStructType="session_id string, label string, value string, n int, placeholder string",
         outputMode="append",
-        timeMode="processingTime",
+        timeMode="processingTime" if ttl_hours else "none",
     )
 
 
 def daily_counts(messages: DataFrame, late: str = "1 day") -> DataFrame:
     """Findings per day and type. The watermark decides when a day is final."""
+    timed = messages.withColumn("ts", F.col("ts").cast("timestamp"))
     return (
-        messages.withWatermark("ts", late)
+        timed.withWatermark("ts", late)
         .select("ts", F.explode(F.col("spans.type")).alias("type"))
         .groupBy(F.window("ts", "1 day").alias("day"), "type")
         .agg(F.count("*").alias("n"))
@@ -133,10 +137,13 @@ def daily_counts(messages: DataFrame, late: str = "1 day") -> DataFrame:
     )
 
 
-def assemble_stream(events: DataFrame, timeout_ms: int = ANSWER_TIMEOUT_MS) -> DataFrame:
-    """Answers put together as their events arrive, given out at the end marker or timeout."""
+def assemble_stream(events: DataFrame, timeout_ms: int | None = ANSWER_TIMEOUT_MS) -> DataFrame:
+    """Answers put together as their events arrive, given out at the end marker or timeout.
+
+    Without a timeout, answers that never end stay in the state.
+    """
     judged = chatlogs.is_stream_complete(chatlogs.extract_response_delta(events)).select(
-        "response_id", "provider", "seq", "delta", "complete"
+        F.col("response_id").cast("string"), "provider", "seq", "delta", "complete"
     )
 
     def collect(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -161,14 +168,20 @@ def assemble_stream(events: DataFrame, timeout_ms: int = ANSWER_TIMEOUT_MS) -> D
                 )
         # A closed answer is remembered until the timeout so that stragglers are ignored.
         state.update(("" if closed else text, closed))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
 
+    patience = (
+        GroupStateTimeout.NoTimeout
+        if timeout_ms is None
+        else GroupStateTimeout.ProcessingTimeTimeout
+    )
     return judged.groupBy("response_id", "provider").applyInPandasWithState(
         collect,
         "response_id string, provider string, text string, complete boolean",
         "text string, closed boolean",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        patience,
     )
 
 
@@ -186,3 +199,19 @@ def audit_stream(decided: DataFrame, path: str, checkpoint: str):
 
 def span_rows_stream(messages: DataFrame, *keep: str) -> DataFrame:
     return explode_spans(messages, "spans", *keep)
+
+
+def run_once(df: DataFrame, name: str) -> DataFrame:
+    """Process what is there, write it as a table below the checkpoint folder and read it."""
+    spark = df.sparkSession
+    base = checkpoint_dir(spark, name)
+    query = (
+        df.writeStream.format("parquet")
+        .option("path", f"{base}/rows")
+        .option("checkpointLocation", f"{base}/state")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{base}/rows")
