@@ -62,6 +62,7 @@ def main() -> None:
         start = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     count, chars = docs.selectExpr("count(*)", "sum(length(text))").first()

@@ -57,10 +57,30 @@ def no_spans() -> str:
     return f"CAST(array() AS array<{RAW_SPAN}>)"
 
 
-def walk(text: str, pattern: str, emit: str, out_type: str) -> str:
-    """Fold over the matches of ``pattern`` (SQL); ``emit`` is an array to append per match."""
-    start = "named_struct('i', 0, 'at', 0, 'tail', '', " \
-        f"'gaps', split({text}, {pattern}, -1), 'out', CAST(array() AS {out_type}))"
+# A character that no pattern treats specially stands for a match while cutting.
+MARK, SPARE = "\x01", "\x02"
+
+
+def matches(text: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({text}, {quote(pattern)}, {group})"
+
+
+def gaps(text: str, pattern: str) -> str:
+    """The text between the matches: one piece more than there are matches.
+
+    ``split`` would compile the pattern for every row, ``regexp_replace`` compiles a literal
+    once per task; so matches become a mark and the text is cut at the mark.
+    """
+    clean = f"translate({text}, '{MARK}', '{SPARE}')"
+    return f"split(regexp_replace({clean}, {quote(pattern)}, '{MARK}'), '{MARK}', -1)"
+
+
+def walk(found: str, between: str, emit: str, out_type: str) -> str:
+    """Fold over matches and the gaps between them; ``emit`` is an array to append per match."""
+    start = (
+        f"named_struct('i', 0, 'at', 0, 'tail', '', 'gaps', {between}, "
+        f"'out', CAST(array() AS {out_type}))"
+    )
     before = "concat(acc.tail, get(acc.gaps, acc.i))"
     hit = (
         "named_struct('value', v, "
@@ -78,7 +98,7 @@ def walk(text: str, pattern: str, emit: str, out_type: str) -> str:
         f"'gaps', acc.gaps, 'out', {appended})",
     )
     return (
-        f"aggregate(regexp_extract_all({text}, {pattern}, 0), {start}, "
+        f"aggregate({found}, {start}, "
         f"(acc, v) -> {step}, acc -> acc.out)"
     )
 
@@ -104,12 +124,12 @@ def _candidates(rules: Sequence[Rule]) -> str:
     return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
 
 
-def scan_groups(text: str, chosen: str, groups: Sequence[Sequence[Rule]]) -> str:
-    """Scan a text with each chosen pattern and return all accepted spans.
+def scan_groups(chosen: str, groups: Sequence[Sequence[Rule]]) -> str:
+    """All accepted spans of the rule groups that are worth running on a text.
 
-    ``chosen`` is SQL for an array of ``struct<id,p>``: which rule groups are worth running
-    on this text, with their pattern. The walk stands in the plan once, however many
-    patterns there are, which keeps the plan small enough to ship to every task.
+    ``chosen`` is SQL for an array of ``struct<id,m,g>``: a group's number, its matches and
+    the gaps between them. The walk stands in the plan once, however many patterns there
+    are, which keeps the plan small enough to ship to every task.
     """
     verdicts = " ".join(
         f"WHEN {i} THEN {_candidates(rules)}" for i, rules in enumerate(groups)
@@ -119,7 +139,8 @@ def scan_groups(text: str, chosen: str, groups: Sequence[Sequence[Rule]]) -> str
         "'start', hit.start, 'rank', -r.c, 'ord', r.o, "
         "'end', hit.start + length(hit.value), 'type', r.t, 'value', hit.value))"
     )
-    return f"flatten(transform({chosen}, g -> {walk(text, 'g.p', emit, f'array<{RAW_SPAN}>')}))"
+    body = walk("g.m", "g.g", emit, f"array<{RAW_SPAN}>")
+    return f"flatten(transform({chosen}, g -> {body}))"
 
 
 def gate(text: str, lower_text: str, rules: Sequence[Rule]) -> str:
@@ -149,7 +170,7 @@ def match_ranges(text: str, pattern: str) -> str:
     emit = (
         "array(named_struct('start', hit.start, 'end', hit.start + length(hit.value)))"
     )
-    return walk(text, quote(pattern), emit, RANGES)
+    return walk(matches(text, pattern), gaps(text, pattern), emit, RANGES)
 
 
 def blank_matches(text: str, pattern: str) -> str:

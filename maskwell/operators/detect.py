@@ -11,8 +11,10 @@ from maskwell.functions.scan import (
     RAW_SPAN,
     Rule,
     blank_matches,
+    gaps,
     gate,
     match_ranges,
+    matches,
     no_spans,
     scan_groups,
 )
@@ -52,7 +54,7 @@ FAMILIES = {
 }
 
 
-CHOSEN = "array<struct<id:int,p:string>>"
+CHOSEN = "array<struct<id:int,m:array<string>,g:array<string>>>"
 
 
 def raw_spans_sql(text: str, rules: Sequence[Rule], phrases: bool = True) -> str:
@@ -60,7 +62,8 @@ def raw_spans_sql(text: str, rules: Sequence[Rule], phrases: bool = True) -> str
     groups = _by_pattern(rules)
     families: dict[str | None, list[str]] = {}
     for i, group in enumerate(groups):
-        entry = f"named_struct('id', {i}, 'p', {quote(group[0].pattern)})"
+        pattern = group[0].pattern
+        entry = f"named_struct('id', {i}, 'm', {matches(text, pattern)}, 'g', {gaps(text, pattern)})"
         test = gate(text, "low", group)
         families.setdefault(group[0].family, []).append(
             entry if test == "true" else f"if({test}, {entry}, NULL)"
@@ -82,7 +85,7 @@ def raw_spans_sql(text: str, rules: Sequence[Rule], phrases: bool = True) -> str
     parts = []
     if lists:
         every = lists[0] if len(lists) == 1 else f"concat({', '.join(lists)})"
-        parts.append(scan_groups(text, f"array_compact({every})", groups))
+        parts.append(scan_groups(f"array_compact({every})", groups))
     if phrases:
         parts.append(f"if({phrase_gate(text)}, {phrase_spans(text)}, {no_spans()})")
     if not parts:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from maskwell.functions import checks
-from maskwell.functions.scan import RAW_SPAN, walk
+from maskwell.functions.scan import RAW_SPAN, gaps, matches, walk
 from maskwell.functions.sqltext import SPACE, alternation, let, quote
 from maskwell.rules.identifiers import EMAIL_BODY
 
@@ -107,11 +107,10 @@ def phrase_pattern(phrases: tuple[str, ...]) -> str:
     return f"(?i){PHRASE_START}{alternation(phrases)}"
 
 
-def _scan(text: str, pattern: str, emit: str) -> str:
+def _scan(found: str, between: str, captured: str, emit: str) -> str:
     """Walk the phrases; ``found`` is what the look-ahead captured after each."""
-    captured = f"regexp_extract_all({text}, {pattern}, 1)"
-    body = let("found", "get(caught, acc.i)", emit)
-    return let("caught", captured, walk(text, pattern, body, f"array<{PHRASE_SPAN}>"))
+    body = let("found", f"get({captured}, acc.i)", emit)
+    return walk(found, between, body, f"array<{PHRASE_SPAN}>")
 
 
 def _span(seq: str, start: str, value: str, type_: str) -> str:
@@ -173,7 +172,12 @@ def free_text(text: str) -> str:
             ),
         ),
     )
-    return _scan(text, quote(f"{phrase_pattern(every)}(?=({following}))"), emit)
+    pattern = f"{phrase_pattern(every)}(?=({following}))"
+    return let(
+        "caught",
+        matches(text, pattern, 1),
+        _scan(matches(text, pattern), gaps(text, pattern), "caught", emit),
+    )
 
 
 def shaped(text: str) -> str:
@@ -188,7 +192,8 @@ def shaped(text: str) -> str:
         ahead = f"(?=({lead}{group.shape}))"
         entries.append(
             f"if({text} RLIKE {quote(phrase + ahead)}, named_struct('seq', {seq}, "
-            f"'type', {quote(group.type)}, 'p', {quote(phrase + ahead)}), NULL)"
+            f"'type', {quote(group.type)}, 'm', {matches(text, phrase + ahead)}, "
+            f"'g', {gaps(text, phrase + ahead)}, 'f', {matches(text, phrase + ahead, 1)}), NULL)"
         )
         if group.check:
             checks_by_seq.append(f"WHEN {seq} THEN {group.check.replace('found', 'val')}")
@@ -202,7 +207,7 @@ def shaped(text: str) -> str:
     )
     return (
         f"flatten(transform(array_compact(array({', '.join(entries)})), "
-        f"g -> {_scan(text, 'g.p', emit)}))"
+        f"g -> {_scan('g.m', 'g.g', 'g.f', emit)}))"
     )
 
 
