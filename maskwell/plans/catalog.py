@@ -12,6 +12,7 @@ from maskwell.plans.chat_queries import chat_oracles, chat_queries
 from maskwell.plans.content_queries import content_oracles, content_queries
 from maskwell.plans.planted import PLANTED, planted
 from maskwell.plans.stream_queries import stream_oracles, stream_queries
+from maskwell.sources.tables import spread
 
 SMALL_DIR = "/root/testdata/sf0.001"
 
@@ -42,7 +43,7 @@ def detector_queries() -> dict[str, Query]:
 
 def found_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every rule over every document, overlaps resolved, counted by type."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return (
         det.drop_excluded(det.detect_spans(docs))
         .select(F.explode("spans").alias("s"))

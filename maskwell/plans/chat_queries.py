@@ -16,7 +16,7 @@ from maskwell.operators import filters, mask, merge, policy, quality, stats
 from maskwell.plans import oracle as sql
 from maskwell.plans.planted import cut, digits, pick, portable
 from maskwell.rules.registry import CATEGORY_OF, PII_TYPES, PLACEHOLDER_OF, PROVIDERS
-from maskwell.sources.tables import add_rule
+from maskwell.sources.tables import add_rule, spread
 from maskwell.sources.vault import seal, unseal
 
 TYPES = ("SSN", "CREDIT_CARD", "PHONE_US")
@@ -43,7 +43,7 @@ _MODEL_CONF = "round(0.5 + (doc_id % 50) / 100.0, 2)"
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_chat(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return as_chat(spread(spark.read.parquet(f"{sf_dir}/orders.parquet")))
 
 
 def as_chat(orders: DataFrame) -> DataFrame:

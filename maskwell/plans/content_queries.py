@@ -13,13 +13,14 @@ from maskwell.plans.planted import C, HEX, digits, pick, portable
 from maskwell.rules.credentials import MIN_ENTROPY, VENDORS
 from maskwell.rules.phrases import PHRASES, STOP_WORDS
 from maskwell.rules.registry import PROVIDERS
+from maskwell.sources.tables import spread
 
 KEYED = [(v[0], v[2][0]) for v in VENDORS if v[2]]
 DOC_TYPES = ("CREDIT_CARD", "PHONE_US", "PHONE_INTL", "IPV4")
 
 
 def customer_texts(spark, sf_dir, text):
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customer = spread(spark.read.parquet(f"{sf_dir}/customer.parquet"))
     return customer.selectExpr(f"{C} AS id", f"{portable(text, 'spark')} AS text")
 
 
@@ -33,12 +34,14 @@ def span_rows(df, *keep):
 
 
 def q_document_spans(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return span_rows(det.detect_spans(docs, types=DOC_TYPES), "doc_id")
 
 
 def q_page_spans(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("html").alias("text"))
+    pages = spread(
+        spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("html").alias("text"))
+    )
     return span_rows(det.detect_spans(pages, types=DOC_TYPES), "page_id")
 
 
@@ -325,7 +328,7 @@ _HOSTS = {
 
 
 def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_talk(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return as_talk(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 def as_talk(base: DataFrame) -> DataFrame:

@@ -35,6 +35,18 @@ RULES = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on small inputs; leave large ones alone.
+
+    A scan of text is bound by the processor, and a small file is one row group and so one
+    task. When the input has no more partitions than there are cores, its size is bounded
+    by cores times the split size, and moving it once costs little. Larger inputs already
+    have more tasks than cores and are never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def as_messages(
     df: DataFrame,
     doc_id: str | Column,
