@@ -175,9 +175,7 @@ def match_ranges(text: str, pattern: str) -> str:
 
 def blank_matches(text: str, pattern: str) -> str:
     """The text with every match replaced by spaces of the same length."""
-    p = quote(pattern)
     return (
-        f"concat_ws('', zip_with(split({text}, {p}, -1), "
-        f"regexp_extract_all({text}, {p}, 0), "
+        f"concat_ws('', zip_with({gaps(text, pattern)}, {matches(text, pattern)}, "
         "(gap, m) -> concat(gap, repeat(' ', coalesce(length(m), 0)))))"
     )

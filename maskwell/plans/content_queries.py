@@ -278,24 +278,28 @@ def q_sentence_wrap(spark, sf_dir):
 _KV = f"concat('- Name: ', c_name, chr(10), {pick(C, repr('plain words'), repr('2) Home City: Paris'))}, chr(10), 'Segment:  ', c_mktsegment)"
 
 
-def capital_words(texts: list[str]) -> list[list[dict]]:
-    """A stand-in model: every capitalised word is a person."""
-    import re
-
-    return [
-        [
-            {"word": w, "entity": "B-PER", "score": 0.5 + len(w) % 5 / 10}
-            for w in re.findall(r"\b[A-Z][a-z]{3,}\b", t)
+def stand_in_model():
+    """Every capitalised word is a person. Local, so that it travels with the plan."""
+
+    def capital_words(texts: list[str]) -> list[list[dict]]:
+        import re
+
+        return [
+            [
+                {"word": w, "entity": "B-PER", "score": 0.5 + len(w) % 5 / 10}
+                for w in re.findall(r"\b[A-Z][a-z]{3,}\b", t)
+            ]
+            for t in texts
         ]
-        for t in texts
-    ]
+
+    return capital_words
 
 
 def q_entities(spark, sf_dir):
     talk = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"
     )
-    return ner.entities_of(talk, capital_words).select(
+    return ner.entities_of(talk, stand_in_model()).select(
         "doc_id", F.explode("ner_spans").alias("s")
     ).select("doc_id", "s.type", "s.value", "s.start", "s.end", "s.confidence")
 
@@ -307,7 +311,7 @@ def _mode(combine: str):
             F.concat(F.lit("Call (212) 664-7665 now. "), "text").alias("text"),
         )
         rules = [r for r in det.default_rules() if r.type == "PHONE_US"]
-        out = scan.detect(talk, "balanced", combine, capital_words, rules=rules)
+        out = scan.detect(talk, "balanced", combine, stand_in_model(), rules=rules)
         return span_rows(out, "doc_id")
 
     return run
