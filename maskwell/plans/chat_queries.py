@@ -16,7 +16,7 @@ from maskwell.operators import filters, mask, merge, policy, quality, stats
 from maskwell.plans import oracle as sql
 from maskwell.plans.planted import cut, digits, pick, portable
 from maskwell.rules.registry import CATEGORY_OF, PII_TYPES, PLACEHOLDER_OF, PROVIDERS
-from maskwell.sources.tables import add_rule, spread
+from maskwell.sources.tables import add_rule, saved, spread
 from maskwell.sources.vault import seal, unseal
 
 TYPES = ("SSN", "CREDIT_CARD", "PHONE_US")
@@ -56,6 +56,15 @@ def with_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.detect_spans(chat(spark, sf_dir), types=TYPES, phrases=False)
 
 
+def saved_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanned messages as a table, for queries that need them more than once."""
+    return saved(with_spans(spark, sf_dir), "scanned")
+
+
+def saved_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return saved(rows(spark, sf_dir), "spans")
+
+
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.explode_spans(
         with_spans(spark, sf_dir), "spans", "doc_id", "session_id", "turn", "ts", "provider"
@@ -125,7 +134,7 @@ def _audit(spark, sf_dir):
 
 
 def _map(spark, sf_dir):
-    return mask.assign_placeholders(rows(spark, sf_dir))
+    return mask.assign_placeholders(saved_rows(spark, sf_dir))
 
 
 def _dated(df):
@@ -264,13 +273,13 @@ def q_assign_placeholders(spark, sf_dir):
 
 def q_resume_placeholders(spark, sf_dir):
     """Number half of the messages first, then the rest on top of that map."""
-    found = rows(spark, sf_dir)
+    found = saved_rows(spark, sf_dir)
     first = mask.assign_placeholders(found.where("turn % 2 = 0"))
     return mask.assign_placeholders(found, existing=first)
 
 
 def q_anonymize(spark, sf_dir):
-    found = with_spans(spark, sf_dir)
+    found = saved_spans(spark, sf_dir)
     spans = det.explode_spans(found, "spans", "doc_id", "session_id", "turn")
     masked = mask.anonymize(found, mask.assign_placeholders(spans))
     return masked.select("doc_id", "masked_text")
@@ -283,7 +292,7 @@ def q_anonymize_rows(spark, sf_dir):
 
 
 def q_synthetic(spark, sf_dir):
-    found = with_spans(spark, sf_dir)
+    found = saved_spans(spark, sf_dir)
     fake = F.expr(
         "transform(spans, s -> named_struct('type', s.type, 'value', s.value, 'start', s.start, "
         "'end', s.end, 'confidence', s.confidence, 'source', s.source, "
@@ -297,7 +306,7 @@ def q_synthetic(spark, sf_dir):
 
 
 def q_rehydrate(spark, sf_dir):
-    found = with_spans(spark, sf_dir)
+    found = saved_spans(spark, sf_dir)
     spans = det.explode_spans(found, "spans", "doc_id", "session_id", "turn")
     known = mask.assign_placeholders(spans)
     answers = mask.anonymize(found, known).select(
@@ -356,19 +365,19 @@ def q_cap_allowlist(spark, sf_dir):
 
 
 def q_vote(spark, sf_dir):
-    found = rows(spark, sf_dir)
+    found = saved_rows(spark, sf_dir)
     voted = merge.vote(found, model_rows(found))
     return voted.select("doc_id", "type", "start", "end", "source", F.round("confidence", 4).alias("confidence"))
 
 
 def q_merge_exact(spark, sf_dir):
-    found = rows(spark, sf_dir)
+    found = saved_rows(spark, sf_dir)
     merged = merge.merge_exact(found, model_rows(found))
     return merged.select("doc_id", "type", "start", "end", "source", F.round("confidence", 4).alias("confidence"))
 
 
 def _two_arrays(spark, sf_dir):
-    found = with_spans(spark, sf_dir)
+    found = saved_spans(spark, sf_dir)
     model = (
         model_rows(det.explode_spans(found, "spans", "doc_id"))
         .groupBy("doc_id")
@@ -412,7 +421,7 @@ def q_calibrate(spark, sf_dir):
 
 
 def q_evaluate(spark, sf_dir):
-    found = rows(spark, sf_dir).withColumnRenamed("doc_id", "case_id")
+    found = saved_rows(spark, sf_dir).withColumnRenamed("doc_id", "case_id")
     gold = chat(spark, sf_dir).select(
         F.col("doc_id").alias("case_id"),
         F.expr(

@@ -47,6 +47,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() <= cores else df
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that several branches need below the checkpoint folder, and read it.
+
+    A scan is far dearer than its output. Without this every branch would scan again, and a
+    lost executor would repeat it.
+    """
+    from maskwell.streaming.live import checkpoint_dir
+
+    path = checkpoint_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def as_messages(
     df: DataFrame,
     doc_id: str | Column,
