@@ -126,7 +126,8 @@ def _decided(spark, sf_dir):
 
 
 def _daily(spark, sf_dir):
-    return stats.daily_stats(_decided(spark, sf_dir))
+    slim = _decided(spark, sf_dir).select("ts", "spans", "logged_action")
+    return stats.daily_stats(saved(slim, "decided"))
 
 
 def _audit(spark, sf_dir):
