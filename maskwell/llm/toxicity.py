@@ -2,7 +2,8 @@
 
 Examples are a bounded sample of labelled rows, `per_class` of each label. The terms are the words and
 word beginnings of four and five letters whose presence separates the labels in the sample (chi-square
-above `min_chi2`, at most `max_terms`); their document frequencies are counted over all documents. A text's vector holds (1 + ln tf) * ln(1 + N / df) for these terms, at length one. The index keeps, for
+above `min_chi2`) and that mostly stand with one label: of the labelled rows with the term, estimated from the
+sample, at least four fifths are toxic, or a fifth of the usual share at most. `max_terms` bounds them; their document frequencies are counted over all documents. A text's vector holds (1 + ln tf) * ln(1 + N / df) for these terms, at length one. The index keeps, for
 every term, its postings cut into blocks of examples and each block's largest weight. A search bounds every block by the
 query's weights times those maxima, visits blocks from the highest bound down and stops once no block can
 hold a better example than the k found: the k nearest are exact. Near examples vote with their cosine; the
@@ -31,11 +32,13 @@ from maskwell.llm.common import table
 from maskwell.llm.langid import id_remainder
 
 #: Bound of the examples, in documents of one label.
-PER_CLASS = 1500
+PER_CLASS = 4000
 MAX_TERMS = 1024
-MIN_CHI2 = 25.0
+MIN_CHI2 = 40.0
 NEIGHBOURS = 15
 BLOCK = 64
+#: Share of label 1 among the rows with a term, for a term to count.
+PURITY = 0.8
 #: Weight of the prior share among the votes.
 SHRINK = 0.3
 
@@ -132,8 +135,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("picked")).select("doc_id", "toxic", "text")
 
 
-def separating_terms(sample: DataFrame, max_terms: int, min_chi2: float) -> list[str]:
-    """The terms whose presence depends most on the label, best first."""
+def without_copies(sample: DataFrame) -> DataFrame:
+    """One row for the texts of a label that share their rarest-hashed long word, as copies mostly do.
+
+    Copies of one text would make any of its words look typical of a label.
+    """
+    long_words = F.regexp_extract_all("text", F.lit(r"(\p{L}{9,})"), F.lit(1))
+    key = F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("text"))
+    return sample.withColumn("copy_key", key).dropDuplicates(["toxic", "copy_key"]).drop("copy_key")
+
+
+def separating_terms(sample: DataFrame, known: dict[int, int], max_terms: int, min_chi2: float) -> list[str]:
+    """The terms whose presence depends most on the label, best first. `known`: labelled rows of each label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,8 +174,12 @@ def separating_terms(sample: DataFrame, max_terms: int, min_chi2: float) -> list
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
     c, d = totals.n1 - a, totals.n0 - b
     chi2 = (a * d - b * c) ** 2 * (totals.n0 + totals.n1) / ((a + b) * (c + d) * totals.n1 * totals.n0)
+    toxic, clean = a * (known[1] / totals.n1), (b + 0.5) * (known[0] / totals.n0)
+    purity = toxic / (toxic + clean)
+    share = known[1] / (known[0] + known[1])
     best = (
         counts.filter("term <> '' AND n0 + n1 >= 3")
+        .filter((purity >= PURITY) | (purity <= share / 5))
         .select("term", chi2.alias("chi2"))
         .filter(F.col("chi2") >= min_chi2)
         .orderBy(F.desc("chi2"), "term")
@@ -204,12 +221,12 @@ def learn(
 ) -> Model:
     """Index the examples. The driver holds terms and vectors of the bounded sample only."""
     sample = labelled_sample(docs, labels, per_class)
-    terms = separating_terms(sample, max_terms, min_chi2)
     rows = sorted(
         labels.filter(F.col("toxic").isin(0, 1) & (id_remainder(F.col("doc_id"), 5) != 0)).groupBy("toxic").count().collect()
     )
     known = {r.toxic: r["count"] for r in rows}
     share = known.get(1, 0) / max(1, sum(known.values()))
+    terms = separating_terms(without_copies(sample), known, max_terms, min_chi2) if len(known) == 2 else []
     if not terms:
         return Model(base=share)
     vocabulary = {t: i for i, t in enumerate(terms)}
