@@ -91,5 +91,11 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     )
 
 
+def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, all columns, without the documents that are not the first of their group."""
+    gone = groups(docs, width, percent).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+
+
 def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"), width=2)

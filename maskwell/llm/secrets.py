@@ -129,6 +129,17 @@ def redact(df: DataFrame, text_col: str = "text", spans_col: str = "secrets", ma
     )
 
 
+def redacted(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """The rows of `docs` with the secrets in `text` replaced; where `n_chars` is given, it follows the text."""
+    out = free_name(docs, "secrets")
+    rows = find_secrets(docs, ranks_path, pattern, out=out)
+    changed = redact(rows, spans_col=out)
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        changed = changed.withColumn("n_chars", F.when(F.size(out) > 0, length).otherwise(F.col("n_chars")))
+    return changed.select(*docs.columns)
+
+
 def secret_rows(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, counts by kind, digest of the base spans, all spans."""
     two = docs.select("doc_id", "text")
