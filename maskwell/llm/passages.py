@@ -89,7 +89,7 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, pe
     texts = (
         classes.join(ids, "id", "left_semi")
         .select("id", "doc_id", "start", "end")
-        .join(source, F.col("doc_id") == F.col("of"))
+        .join(source.hint("merge"), F.col("doc_id") == F.col("of"))
         .select("id", F.expr("substring(text, int(start + 1), int(end - start))").alias("text"))
     )
     linked = linked_components(pairs, texts, width, percent).select("id", "component")

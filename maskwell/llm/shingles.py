@@ -94,7 +94,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    # Texts are never broadcast, whatever their size: the plan is the same for every input.
+    joined = pairs.select("a", "b").join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "ta", "tb")
     return joined.mapInArrow(judge, f"a {kind}, b {kind}")
 
 
@@ -106,7 +107,7 @@ def linked_components(candidates: DataFrame, texts: DataFrame, width: int, perce
     """
     pairs = saved(candidates)
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = saved(texts.join(ids, "id", "left_semi"))
+    texts = saved(texts.join(ids.hint("merge"), "id", "left_semi"))
     likely = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     links = saved(verified(likely, texts, width, percent))
     found = saved(components(links))
