@@ -2,8 +2,8 @@
 
 The n-grams (five words) of all items are set in a Bloom filter of fixed size, which goes to every task; documents
 whose words meet it come out with their hits, the others never leave their task. Hits are joined with the items'
-n-grams. A seed is rare if at most one document in a thousand holds it; of each item the `ALWAYS` rarest
-count anyway, so that an item which leaked everywhere is still found. A document and an item that
+n-grams. A seed is rare if at most one document in a thousand holds it (or a hundred of them), or at most four times as many
+as hold the median n-gram of its item, so that an item which leaked everywhere keeps most of its seeds. A document and an item that
 share a rare seed are aligned by Smith-Waterman over words, within the part of the document that the seeds span
 plus the item's length on both sides. The score is that of the best local alignment divided by the item's
 own, so a whole copy has 1 and edits cost their share.
@@ -32,7 +32,7 @@ WIDTH = 5
 MIN_SCORE = 0.6
 #: Seeds in more documents than this share of all are common.
 COMMON = 0.001
-ALWAYS = 8
+FEW, TIMES = 100, 4
 #: Bits of the Bloom filter, as a power of two: four megabytes.
 FILTER_BITS = 25
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -176,10 +176,13 @@ def contaminated(
     total = docs.select("doc_id").count()
     hits = found.select("row", F.explode("hits").alias("hit")).select("row", "hit.gram", "hit.place")
     frequency = hits.groupBy("gram").agg(F.countDistinct("row").alias("df"))
-    ranked = seeds.join(frequency, "gram").withColumn(
-        "rank", F.expr("row_number() over (partition by item_id order by df, at)")
+    counted = saved(seeds.join(frequency, "gram"))
+    usual = counted.groupBy("item_id").agg((F.percentile("df", F.lit(0.5)) * TIMES).alias("usual"))
+    rare = saved(
+        counted.join(usual, "item_id")
+        .filter(F.col("df") <= F.greatest("usual", F.lit(float(max(FEW, common * total)))))
+        .select("gram", "item_id", "at")
     )
-    rare = saved(ranked.filter((F.col("df") <= max(1.0, common * total)) | (F.col("rank") <= ALWAYS)).select("gram", "item_id", "at"))
     pairs = (
         hits.join(rare, "gram")
         .groupBy("row", "item_id")

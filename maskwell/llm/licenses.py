@@ -39,7 +39,7 @@ GATE = (
     "licen", "copyright", "copyleft", "spdx", "public domain", "rights", "commons", "wtfpl", "gpl", "gnu.org",
     "apache.org", "mozilla", "permission", "redistribution", "proprietary", "what the", "zero", "cc0", "attribution",
     "unlicense", "wiki", "eclipse", "database", "spaces", "evil", "legal", "bsd", "vimhelp", "boost", "wtf", "sil.org",
-    "eupl",
+    "eupl", "mariadb",
 )
 GATE_CC = r"(?i)cc[^0-9a-z\x{80}-\x{10FFFF}]+by"
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"

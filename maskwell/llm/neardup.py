@@ -6,8 +6,9 @@ sorted as so many orders, neighbours with a long common prefix become candidates
 judged by the exact similarity of the full sets. Components of the links are the groups.
 
 At similarity 0.8 two sets share the first four hashes of an order with probability 0.41, in at least one
-of 16 orders with 0.9998; where a region is crowded, both must stay together deeper, which copies that are
-closer do. Groups never meet in one task: copies with equal sets are aggregated where they are, and sorted
+of 16 orders with 0.9998. A crowded region is cut deeper at first; once the components of those links are known,
+the rows outside its largest component are paired with all of the region, so that every two documents
+that share four hashes of an order are judged or connected. Groups never meet in one task: copies with equal sets are aggregated where they are, and sorted
 orders are split by range.
 
 Defined results: null and empty texts and texts without a word have no shingles and are linked with
@@ -32,6 +33,10 @@ from maskwell.llm.shingles import MinHash, WordHashes, linked_components, shingl
 TREES, DEPTH = 16, 6
 #: Levels that candidates share at least, besides the order's number.
 FIRST = 4
+#: Rows of a region that are all paired.
+SMALL = 8
+#: Hashes that must agree for a late pair to be judged: at similarity 0.8 fewer occur once in a million.
+AGREE = 58
 
 
 def features(docs: DataFrame, width: int) -> DataFrame:
@@ -66,6 +71,42 @@ def orders(signed: DataFrame) -> DataFrame:
     return rows.select(F.concat(number, part).alias("key"), "id")
 
 
+def across(signed: DataFrame, found: DataFrame, small: int) -> DataFrame:
+    """Pairs (a, b) that share `FIRST` levels in a crowded region and whose components differ.
+
+    In each region the largest component stands aside: only the rows outside it are paired, with every row of
+    the region. Of these pairs those remain whose signatures agree in at least `AGREE` of their hashes.
+    """
+    size = 4 * (1 + FIRST)
+    rows = orders(signed).select(F.expr(f"substring(key, 1, {size})").alias("region"), "id")
+    crowded = rows.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > small).select("region")
+    rows = rows.join(crowded, "region").join(found, "id", "left")
+    rows = saved(rows.select("region", "id", F.coalesce("component", "id").alias("own")))
+    largest = (
+        rows.groupBy("region", "own").agg(F.count("*").alias("n")).groupBy("region").agg(F.max(F.struct("n", "own")).alias("top"))
+    )
+    outside = rows.join(largest.select("region", F.col("top.own").alias("top")), "region").filter(F.col("own") != F.col("top"))
+    other = rows.select("region", F.col("id").alias("b"), F.col("own").alias("other"))
+    pairs = (
+        outside.select("region", F.col("id").alias("a"), "own")
+        .join(other, "region")
+        .filter(F.col("own") != F.col("other"))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u4").reshape(-1, TREES * DEPTH) for c in ("sa", "sb"))
+            keep = pa.array((x == y).sum(1) >= AGREE)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    kind = dict(signed.dtypes)["id"]
+    one = signed.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
+    two = signed.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text)."""
     seen = saved(features(docs, width))
@@ -75,9 +116,10 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
             F.min(F.struct("doc_id", "signature")).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
         )
     )
-    pairs = candidates(orders(classes.select(F.col("first.doc_id").alias("id"), "first.signature")), 1 + DEPTH, 1 + FIRST)
+    signed = classes.select(F.col("first.doc_id").alias("id"), "first.signature")
+    pairs = candidates(orders(signed), 1 + DEPTH, 1 + FIRST, SMALL)
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    linked = linked_components(pairs, texts, width, percent)
+    linked = linked_components(pairs, texts, width, percent, lambda found: across(signed, found, SMALL))
     # Only classes with several documents or with links need a component of their own.
     named = (
         classes.join(linked, F.col("low") == F.col("id"), "left")
@@ -86,7 +128,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     )
     return (
         seen.join(named, F.col("digest") == F.col("of"), "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 

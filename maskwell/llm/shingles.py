@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,27 +99,43 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return joined.mapInArrow(judge, f"a {kind}, b {kind}")
 
 
-def linked_components(candidates: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends lie in different components."""
+    left = found.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    right = found.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    joined = pairs.join(left, "a", "left").join(right, "b", "left")
+    return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+
+
+def linked_components(
+    candidates: DataFrame,
+    texts: DataFrame,
+    width: int,
+    percent: int,
+    rest: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Components (id, component) of the candidate pairs (a, b, n) that are similar.
 
     Every candidate pair is either judged or lies inside a component already: first each node's most
-    frequent partner is judged, then the pairs that the links so found leave apart.
+    frequent partner is judged, then the pairs that the links so found leave apart. `rest` gives further
+    pairs (a, b) from the components found, which are judged last.
     """
     pairs = saved(candidates)
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = saved(texts.join(ids.hint("merge"), "id", "left_semi"))
+    some = saved(texts.join(ids.hint("merge"), "id", "left_semi"))
     likely = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = saved(verified(likely, texts, width, percent))
+    links = saved(verified(likely, some, width, percent))
     found = saved(components(links))
-    left = found.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = found.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    apart = (
-        pairs.join(likely, ["a", "b"], "left_anti")
-        .join(left, "a", "left")
-        .join(right, "b", "left")
-        .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    )
-    more = saved(verified(apart, texts, width, percent))
-    if more.isEmpty():
+    others = pairs.join(likely, ["a", "b"], "left_anti").select("a", "b")
+    more = saved(verified(_apart(others, found), some, width, percent))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = saved(components(links))
+    if rest is None:
+        return found
+    last = saved(_apart(rest(found), found).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    if last.isEmpty():
         return found
-    return saved(components(links.unionByName(more)))
+    # Their texts are among those that the forest has met.
+    links = links.unionByName(saved(verified(last, some, width, percent)))
+    return saved(components(links))

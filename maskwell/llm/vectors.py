@@ -183,11 +183,13 @@ def vector_links(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFram
         )
         .filter("links > 0")
     )
+    known = F.col("vec_id").isNotNull()
+    component = F.when(known, F.coalesce("component", "vec_id"))
     return rows.join(named, (F.col("label") == F.col("of_label")) & (F.col("vector") == F.col("of")), "left").select(
         "vec_id",
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "vec_id").alias("component_id"),
-        F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"),
+        F.when(known, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"),
     )
 
 
