@@ -24,7 +24,6 @@ from maskwell.rules.identifiers import LONG_NUMBER, identifier_rules
 from maskwell.rules.phrases import PHRASES, phrase_gate, phrase_spans
 
 RAW_SPANS = f"array<{RAW_SPAN}>"
-MAX_TEXT = 200_000
 
 PHRASE_TYPES = frozenset(g.type for g in PHRASES)
 
@@ -210,10 +209,9 @@ def resolve_overlaps(df: DataFrame, spans: str = "spans") -> DataFrame:
     )
 
 
-def scannable(df: DataFrame, text: str = "text", max_chars: int = MAX_TEXT) -> DataFrame:
-    """Texts that are not blank and not oversize; the others are left to the caller."""
-    t = F.col(text)
-    return df.where((F.length(F.trim(t)) > 0) & (F.length(t) <= max_chars))
+def scannable(df: DataFrame, text: str = "text") -> DataFrame:
+    """Texts that are not blank, whatever their length; the others are left to the caller."""
+    return df.where(F.length(F.trim(F.col(text))) > 0)
 
 
 FENCE = r"```[\s\S]*?```"

@@ -38,8 +38,18 @@ def salted_left_join(
     repeated = right.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
+    # Keys that are null meet: a message without a session belongs to the session without a name.
+    held = repeated.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_salt").alias("_rs"),
+        *[c for c in right.columns if c not in keys],
+    )
+    same = F.col("_salt") == F.col("_rs")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return (
-        left.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], "left").drop("_salt")
+        left.withColumn("_salt", salt)
+        .join(held, same, "left")
+        .drop("_salt", "_rs", *[f"_k{i}" for i in range(len(keys))])
     )
 
 
@@ -61,17 +71,21 @@ def assign_placeholders(
         .agg(F.min(F.struct("turn", "start")).alias("at"))
     )
     if existing is not None:
-        known = existing.select(session, "label", "value")
-        first = first.join(known, [session, "label", "value"], "left_anti")
-
-    bucket = F.floor(F.col("at.turn") / F.lit(turns_per_bucket)).alias("bucket")
+        known = existing.select(*[F.col(c).alias(f"_{c}") for c in (session, "label", "value")])
+        same = F.lit(True)
+        for c in (session, "label", "value"):
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        first = first.join(known, same, "left_anti")
+
+    # Messages without a turn come before all others, by start and value.
+    bucket = F.coalesce(F.floor(F.col("at.turn") / F.lit(turns_per_bucket)), F.lit(-1)).alias("bucket")
     first = first.select(session, "label", "value", "at", bucket)
     per_bucket = first.groupBy(session, "label", "bucket").agg(F.count("*").alias("size"))
     earlier = Window.partitionBy(session, "label").orderBy("bucket")
     shifts = per_bucket.select(
-        session,
-        "label",
-        "bucket",
+        F.col(session).alias("_session"),
+        F.col("label").alias("_label"),
+        F.col("bucket").alias("_bucket"),
         (
             F.sum("size").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
         ).alias("shift"),
@@ -79,12 +93,18 @@ def assign_placeholders(
     within = Window.partitionBy(session, "label", "bucket").orderBy("at", "value")
     numbered = (
         first.withColumn("n", F.row_number().over(within))
-        .join(shifts, [session, "label", "bucket"])
+        .join(
+            shifts,
+            F.col(session).eqNullSafe(F.col("_session"))
+            & (F.col("label") == F.col("_label"))
+            & (F.col("bucket") == F.col("_bucket")),
+        )
         .withColumn("n", (F.col("n") + F.coalesce("shift", F.lit(0))).cast("int"))
     )
     if existing is not None:
-        top = existing.groupBy(session, "label").agg(F.max("n").alias("top"))
-        numbered = numbered.join(top, [session, "label"], "left").withColumn(
+        top = existing.groupBy(F.col(session).alias("_of"), F.col("label").alias("_for")).agg(F.max("n").alias("top"))
+        same = F.col(session).eqNullSafe(F.col("_of")) & (F.col("label") == F.col("_for"))
+        numbered = numbered.join(top, same, "left").withColumn(
             "n", (F.col("n") + F.coalesce("top", F.lit(0))).cast("int")
         )
     new = numbered.select(session, "label", "value", "n", _placeholder().alias("placeholder"))
@@ -183,11 +203,13 @@ def anonymize(
         F.col(doc),
         salts,
     )
+    # A value that the map does not know is masked all the same, without a number.
+    unknown = F.concat(F.lit("["), F.coalesce("label", F.lit("VALUE")), F.lit("_?]"))
     # Bounded by one message: the spans of a text are shorter than the text.
     per_doc = looked_up.groupBy(doc).agg(
         F.sort_array(
             F.collect_list(
-                F.struct("start", "end", F.coalesce("synthetic", "placeholder", "value").alias("with"))
+                F.struct("start", "end", F.coalesce("synthetic", "placeholder", unknown).alias("with"))
             )
         ).alias("_with")
     )

@@ -171,7 +171,7 @@ def q_filter_providers(spark, sf_dir):
 
 def q_scannable(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return det.scannable(docs, max_chars=20000).select("doc_id", F.length("text").alias("n"))
+    return det.scannable(docs).select("doc_id", F.length("text").alias("n"))
 
 
 def q_counts_by_type(spark, sf_dir):
@@ -556,7 +556,7 @@ def chat_oracles() -> dict[str, str]:
         "sort_by_confidence": f"{WITH} SELECT doc_id, string_agg(type, ',' ORDER BY confidence DESC, start) AS types FROM sp GROUP BY doc_id",
         "filter_types": f"{WITH} SELECT doc_id, type, value FROM sp WHERE type <> 'SSN'",
         "filter_providers": f"{WITH} SELECT provider, count(*) AS n FROM chat WHERE provider NOT IN ('GROK', 'CLAUDE') GROUP BY 1",
-        "scannable": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents WHERE length(trim(text)) > 0 AND length(text) <= 20000",
+        "scannable": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents WHERE length(trim(text)) > 0",
         "counts_by_type": f"{WITH} SELECT doc_id, type, count(*) AS n FROM sp GROUP BY ALL",
         "summarize": f"""{WITH}, g AS (SELECT doc_id, type, count(*) AS n, min(start) AS first_at FROM sp GROUP BY ALL)
             SELECT c.doc_id, coalesce(string_agg(n || ' ' || replace(lower(type), '_', ' '), ', ' ORDER BY first_at), 'no PII detected') AS summary

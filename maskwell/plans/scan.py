@@ -120,10 +120,17 @@ def scan_messages(
     model_fn: Callable | None = None,
     rules: Sequence[Rule] | None = None,
 ) -> DataFrame:
-    """The send-time scan: switches, guard, detection, code filter, merge, toggles, threshold."""
-    live = filters.filter_providers(messages, policy.providers, policy.protection)
-    live = det.scannable(live)
-    found = detect(live, mode, "exact", model_fn, None, rules)
+    """The send-time scan: switches, detection, code filter, merge, toggles, threshold.
+
+    Every message stays. Where protection or its provider is switched off, its spans are empty.
+    """
+    off = [p for p, on in (policy.providers or {}).items() if not on]
+    on = F.coalesce(~F.col("provider").isin(off), F.lit(True)) if off else F.lit(True)
+    on = on & F.lit(bool(policy.protection))
+    text = F.col("text")
+    hidden = messages.withColumn("_text", text).withColumn("text", F.when(on, text))
+    found = detect(hidden, mode, "exact", model_fn, None, rules).withColumn("text", F.col("_text")).drop("_text")
+    found = found.withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
     off = policy.disabled_types()
     if off:
         found = filters.filter_types(found, off)

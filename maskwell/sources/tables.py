@@ -31,7 +31,7 @@ AUDIT = T.StructType(
 )
 RULES = (
     "type string, pattern string, confidence string, `order` int, shape string, "
-    "needs array<string>, name string"
+    "needs array<string>, name string, family string, guard string"
 )
 
 
@@ -135,7 +135,7 @@ def export_audit(audit: DataFrame, path: str) -> None:
 def rules_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     """The rule pack as a table, to edit and store."""
     rows = [
-        (r.type, r.pattern, r.confidence, r.order, r.shape, list(r.needs), r.name)
+        (r.type, r.pattern, r.confidence, r.order, r.shape, list(r.needs), r.name, r.family, r.guard)
         for r in rules
     ]
     return spark.createDataFrame(rows, RULES)
@@ -151,7 +151,7 @@ def load_rules(df: DataFrame, limit: int = 10_000) -> list[Rule]:
         (
             Rule(
                 r["type"], r["pattern"], r["confidence"], r["order"], r["shape"],
-                tuple(r["needs"] or ()), r["name"] or "",
+                tuple(r["needs"] or ()), r["name"] or "", r["family"], r["guard"] or "true",
             )
             for r in rows
         ),
