@@ -8,8 +8,8 @@ shortest; the statistics are frozen, so the length of a byte depends on it and i
 lengths are therefore worked out once, into a table with a row per context that any tree holds, and a text
 is scored by looking its bytes up.
 
-The trees learn from a bounded sample of labelled rows, `per_language` of each language, whole texts,
-chosen by a hash of the id. The table keeps the `max_contexts` contexts of three bytes that occur most and
+The trees learn from a bounded sample of labelled rows, `per_language` of each of at most `MAX_LANGUAGES` languages,
+whole texts, chosen by a hash of the id. The table keeps the `max_contexts` contexts of three bytes that occur most and
 126 byte values (others share one); with fewer, contexts fall back to two bytes.
 
 Defined results: `und` with score 0 for a null text, one without a letter, and when nothing was learned;
@@ -32,6 +32,8 @@ from maskwell.llm.common import table
 
 #: Bound of the training sample, in documents of one language.
 PER_LANGUAGE = 400
+#: Languages that are learned, the most frequent ones.
+MAX_LANGUAGES = 200
 MAX_CONTEXTS = 30_000
 MAX_BYTES = 126
 ORDER = 3
@@ -114,7 +116,10 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFr
         .agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(1)).alias("h"), F.col("doc_id").alias("id"))).alias("pick"))
         .select(F.col("pick.id").alias("picked"), F.col("lang").alias("picked_lang"))
     )
-    return labelled.join(chosen, (F.col("doc_id") == F.col("picked")) & (F.col("lang") == F.col("picked_lang"))).select(
+    often = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    chosen = chosen.join(F.broadcast(often.select(F.col("lang").alias("picked_lang"))), "picked_lang")
+    # At most `per_language` times MAX_LANGUAGES rows, so texts need no shuffle to meet them.
+    return labelled.join(F.broadcast(chosen), (F.col("doc_id") == F.col("picked")) & (F.col("lang") == F.col("picked_lang"))).select(
         "lang", "text"
     )
 
