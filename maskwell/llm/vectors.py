@@ -4,7 +4,8 @@ Vectors of one label and length are turned by fast pseudo-random rotations (thre
 a Hadamard transform each) and hashed to the nearest of the 2d signed axes; two such hashes make a bucket, and
 each of `TABLES` tables has its own. A vector enters the bucket of its first choices and probes those with the
 second choice of either hash. Within a bucket every stored vector is compared with every other and with the
-probes, and pairs whose cosine in double precision reaches the limit are links.
+probes. Buckets hold vectors rounded to one byte a component, a fraction of their size; pairs that rounding leaves in
+doubt are judged on the whole vectors, so that links are the pairs whose cosine in double precision reaches the limit.
 
 Equal vectors form a class that enters once; its copies count in the numbers of links. A bucket with more
 than `BLOCK` rows is cut into blocks and each pair of blocks is a task of its own, so that all of its
@@ -32,6 +33,8 @@ from maskwell.llm.graph import components
 
 TABLES = 16
 BLOCK = 2000
+#: Rows of a block compared with the others at once.
+ROWS = 500
 MIN_COSINE = 0.93
 SEED = 11
 
@@ -59,9 +62,18 @@ def best_axes(x: np.ndarray, rotation: int) -> np.ndarray:
     return two * 2 + (np.take_along_axis(x, two, 1) < 0)
 
 
-def buckets(classes: DataFrame) -> DataFrame:
-    """(label, dim, bucket, stored, id, vector) for every table: one stored row and two probes each."""
-    kind = dict(classes.dtypes)["id"]
+def short_codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors in steps of one byte, the size of a step, and the length of what rounding took away."""
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    step = np.abs(unit).max(1) / 127
+    code = np.rint(unit / step[:, None]).astype(np.int8)
+    error = np.sqrt(((unit - code * step[:, None]) ** 2).sum(1))
+    return code, step, error
+
+
+def buckets(classes: DataFrame, with_codes: bool) -> DataFrame:
+    """(label, dim, bucket, stored) for every table, one stored row and two probes each; id and code if wanted."""
+    kinds = dict(classes.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,67 +81,91 @@ def buckets(classes: DataFrame) -> DataFrame:
             for dim in np.unique(dims):
                 own = batch.filter(pa.array(dims == dim))
                 x = np.array(own.column("vector").to_pylist(), float).reshape(len(own), dim)
+                extra = []
+                if with_codes:
+                    code, step, error = short_codes(x)
+                    extra = [own.column("id"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(step), pa.array(error)]
                 for t in range(TABLES):
                     p, q = best_axes(x, 2 * t), best_axes(x, 2 * t + 1)
                     for stored, i, j in ((True, 0, 0), (False, 1, 0), (False, 0, 1)):
-                        code = (np.int64(t) << 48) | (p[:, i].astype(np.int64) << 24) | q[:, j]
+                        bucket = (np.int64(t) << 48) | (p[:, i].astype(np.int64) << 24) | q[:, j]
                         yield pa.RecordBatch.from_arrays(
-                            [own.column("label"), own.column("dim"), pa.array(code), pa.array(np.full(len(own), stored)), own.column("id"), own.column("vector")],
-                            names=["label", "dim", "bucket", "stored", "id", "vector"],
+                            [own.column("label"), own.column("dim"), pa.array(bucket), pa.array(np.full(len(own), stored)), *extra],
+                            names=names,
                         )
 
-    schema = f"label {dict(classes.dtypes)['label']}, dim int, bucket bigint, stored boolean, id {kind}, vector array<double>"
+    schema = f"label {kinds['label']}, dim int, bucket bigint, stored boolean"
+    if with_codes:
+        schema += f", id {kinds['id']}, code binary, step double, error double"
+    names = [part.split()[0] for part in schema.split(", ")]
     return classes.select("label", "dim", "id", "vector").mapInArrow(run, schema)
 
 
-def close_pairs(rows: DataFrame, min_cosine: float) -> DataFrame:
-    """(a, b), a < b, of the rows that share a bucket, are not both probes and are close; pairs may repeat."""
-    kind = dict(rows.dtypes)["id"]
+def near_pairs(classes: DataFrame, min_cosine: float) -> DataFrame:
+    """(a, b, sure), a < b, of the vectors that share a bucket, are not both probes and may be close.
+
+    Vectors meet as one-byte codes. Rounding moves a cosine by a known amount at most: pairs that stay below the
+    limit with it are left out, pairs that stay above it are sure, and the others are judged later.
+    """
+    kind = dict(classes.dtypes)["id"]
     key = ["label", "dim", "bucket"]
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("n"), F.max("stored").alias("any")).filter("n > 1 AND any")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    cut = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    cut = cut.withColumn("other", other).select(
-        *key, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "stored", "id", "vector"
+    # Written, so that the planner knows how small the list of large buckets is.
+    large = saved(
+        buckets(classes, False)
+        .groupBy(*key)
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("n") > BLOCK)
+        .select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    )
+    cut = buckets(classes, True).join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        *key, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "stored", "id", "code", "step", "error"
     )
 
-    def compare(v: np.ndarray, ids: np.ndarray, own: np.ndarray, stored: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left = np.nonzero(stored)[0]
-        r, c = np.nonzero(v[left] @ v.T >= min_cosine - 1e-9)
-        r = left[r]
-        # A task for two different blocks compares across them only.
-        ok = (ids[r] != ids[c]) & ((own[r] != own[c]) | (own.min() == own.max()))
-        r, c = r[ok], c[ok]
-        exact = np.einsum("ij,ij->i", v[r], v[c]) >= min_cosine
-        return r[exact], c[exact]
-
-    def groups(table: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
+    def compare(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ends of the pairs of one group, and whether they are sure."""
+        ids, own = group.column("id").to_numpy(), group.column("own").to_numpy()
+        left = np.nonzero(group.column("stored").to_numpy())[0]
+        code = np.frombuffer(b"".join(group.column("code").to_pylist()), np.int8).reshape(len(group), -1)
+        v = code * group.column("step").to_numpy()[:, None]
+        e = group.column("error").to_numpy()
+        a, b, sure = [], [], []
+        for at in range(0, len(left), ROWS):
+            part = left[at : at + ROWS]
+            cosine = v[part] @ v.T
+            slack = e[part][:, None] * (1 + e) + e + 1e-9
+            r, c = np.nonzero(cosine + slack >= min_cosine)
+            over = (cosine - slack >= min_cosine)[r, c]
+            r = part[r]
+            # A task for two different blocks compares across them only.
+            ok = (ids[r] != ids[c]) & ((own[r] != own[c]) | (own.min() == own.max()))
+            r, c, over = ids[r[ok]], ids[c[ok]], over[ok]
+            a.append(np.minimum(r, c))
+            b.append(np.maximum(r, c))
+            sure.append(over)
+        return np.concatenate(a), np.concatenate(b), np.concatenate(sure)
+
+    def groups(rows: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
         """The pairs of all groups that are complete, and the rows of the one that is not."""
-        names = [table.column(c).to_numpy() for c in ("label", "dim", "bucket", "x", "y")]
-        change = np.zeros(len(table) - 1, bool)
-        for name in names:
-            change |= name[1:] != name[:-1]
+        change = np.zeros(len(rows) - 1, bool)
+        for name in (*key, "x", "y"):
+            values = rows.column(name).to_numpy()
+            change |= values[1:] != values[:-1]
         cuts = [0, *(np.nonzero(change)[0] + 1).tolist()]
         if last:
-            cuts.append(len(table))
-        ids = table.column("id").to_numpy()
-        own, stored = table.column("own").to_numpy(), table.column("stored").to_numpy()
-        a, b = [], []
-        for start, end in zip(cuts, cuts[1:], strict=False):
-            if end - start < 2 or not stored[start:end].any():
-                continue
-            v = np.array(table.column("vector").slice(start, end - start).to_pylist(), float)
-            v /= np.sqrt((v * v).sum(1))[:, None]
-            r, c = compare(v, ids[start:end], own[start:end], stored[start:end])
-            a.append(ids[start:end][r])
-            b.append(ids[start:end][c])
-        rest = table.slice(cuts[-1])
-        if not a:
+            cuts.append(len(rows))
+        stored = np.concatenate([[0], np.cumsum(rows.column("stored").to_numpy())])
+        found = [
+            compare(rows.slice(start, end - start))
+            for start, end in zip(cuts, cuts[1:], strict=False)
+            if end - start > 1 and stored[end] > stored[start]
+        ]
+        rest = rows.slice(cuts[-1])
+        if not found:
             return None, rest
-        a, b = np.concatenate(a), np.concatenate(b)
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"]), rest
+        a, b, sure = (np.concatenate(part) for part in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], names=["a", "b", "sure"]), rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -145,8 +181,29 @@ def close_pairs(rows: DataFrame, min_cosine: float) -> DataFrame:
             if found is not None:
                 yield found
 
-    key = [*key, "x", "y"]
-    return cut.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, f"a {kind}, b {kind}")
+    key_of_task = [*key, "x", "y"]
+    dealt = cut.repartition(*key_of_task).sortWithinPartitions(*key_of_task)
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}, sure boolean").distinct()
+
+
+def close_pairs(classes: DataFrame, min_cosine: float) -> DataFrame:
+    """(a, b), a < b, of the vectors found whose cosine in double precision reaches the limit."""
+    kind = dict(classes.dtypes)["id"]
+    pairs = saved(near_pairs(classes, min_cosine))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True):
+                x, y = np.array(x), np.array(y)
+                keep.append(bool((x / np.sqrt(x @ x)) @ (y / np.sqrt(y @ y)) >= min_cosine))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
+
+    one = classes.select(F.col("id").alias("a"), F.col("vector").alias("va"))
+    two = classes.select(F.col("id").alias("b"), F.col("vector").alias("vb"))
+    judged = pairs.filter("NOT sure").join(one, "a").join(two, "b").select("a", "b", "va", "vb")
+    return pairs.filter("sure").select("a", "b").unionByName(judged.mapInArrow(run, f"a {kind}, b {kind}"))
 
 
 def vector_links(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
@@ -167,7 +224,7 @@ def vector_links(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFram
         "id",
         F.transform("vector", lambda x: x / F.array_max(F.transform("vector", lambda y: F.abs(y)))).alias("vector"),
     )
-    pairs = saved(close_pairs(saved(buckets(scaled)), min_cosine).distinct())
+    pairs = saved(close_pairs(scaled, min_cosine))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = classes.select(F.col("id").alias("b"), F.col("n").alias("m"))
     near = both.join(other, "b").groupBy(F.col("a").alias("near_id")).agg(F.sum("m").alias("near"))
