@@ -7,8 +7,9 @@ judged by the exact similarity of the full sets. Components of the links are the
 
 At similarity 0.8 two sets share the first four hashes of an order with probability 0.41, in at least one
 of 16 orders with 0.9998. A crowded region is cut deeper at first; once the components of those links are known,
-the rows outside its largest component are paired with all of the region, so that every two documents
-that share four hashes of an order are judged or connected. Groups never meet in one task: copies with equal sets are aggregated where they are, and sorted
+the rows outside its largest component are paired with all of the region that their sizes and the shingles
+they have in common with any other set allow, so that every two documents
+that share four hashes of an order are judged, connected or proven apart. Groups never meet in one task: copies with equal sets are aggregated where they are, and sorted
 orders are split by range.
 
 Defined results: null and empty texts and texts without a word have no shingles and are linked with
@@ -71,11 +72,35 @@ def orders(signed: DataFrame) -> DataFrame:
     return rows.select(F.concat(number, part).alias("key"), "id")
 
 
-def across(signed: DataFrame, found: DataFrame, small: int) -> DataFrame:
+def shared_sizes(texts: DataFrame, width: int) -> DataFrame:
+    """code (of a set), shared: how many of its shingles stand in another one of these sets, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(words_of(text), width, hashes) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                ],
+                names=["digest", "shingles"],
+            )
+
+    rows = texts.select("text").mapInArrow(run, "digest binary, shingles array<bigint>")
+    rows = rows.select(F.xxhash64("digest").alias("code"), F.explode("shingles").alias("shingle"))
+    # Shingles of one set only; a text that stands in several rows is still one set.
+    single = rows.groupBy("shingle").agg(F.min("code").alias("code"), F.max("code").alias("high")).filter("code = high")
+    return single.groupBy("code").agg(F.count("*").alias("single"))
+
+
+def across(signed: DataFrame, found: DataFrame, small: int, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) that share `FIRST` levels in a crowded region and whose components differ.
 
     In each region the largest component stands aside: only the rows outside it are paired, with every row of
-    the region. Of these pairs those remain whose signatures agree in at least `AGREE` of their hashes.
+    the region whose set can be similar. Two sets have no more in common than either shares with any other set of
+    these regions; where that is too little for their sizes, they are no pair. Of the pairs those remain
+    whose signatures agree in at least `AGREE` of their hashes.
     """
     size = 4 * (1 + FIRST)
     rows = orders(signed).select(F.expr(f"substring(key, 1, {size})").alias("region"), "id")
@@ -85,12 +110,24 @@ def across(signed: DataFrame, found: DataFrame, small: int) -> DataFrame:
     largest = (
         rows.groupBy("region", "own").agg(F.count("*").alias("n")).groupBy("region").agg(F.max(F.struct("n", "own")).alias("top"))
     )
+    met = signed.join(rows.select("id").distinct(), "id", "left_semi").select("id", F.xxhash64("digest").alias("code"), "n_shingles")
+    single = shared_sizes(texts.join(met.select("id"), "id", "left_semi"), width)
+    sizes = saved(
+        met.join(single, "code", "left").select(
+            "id", "n_shingles", (F.col("n_shingles") - F.coalesce("single", F.lit(0))).alias("shared")
+        )
+    )
+    rows = rows.join(sizes, "id")
     outside = rows.join(largest.select("region", F.col("top.own").alias("top")), "region").filter(F.col("own") != F.col("top"))
-    other = rows.select("region", F.col("id").alias("b"), F.col("own").alias("other"))
+    other = rows.select(
+        "region", F.col("id").alias("b"), F.col("own").alias("other"), F.col("n_shingles").alias("n_b"), F.col("shared").alias("shared_b")
+    )
+    most = F.least("shared", "shared_b")
     pairs = (
-        outside.select("region", F.col("id").alias("a"), "own")
+        outside.select("region", F.col("id").alias("a"), "own", "n_shingles", "shared")
         .join(other, "region")
         .filter(F.col("own") != F.col("other"))
+        .filter(most * (100 + percent) >= (F.col("n_shingles") + F.col("n_b")) * percent)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
@@ -113,13 +150,13 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     known = seen.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = saved(
         known.groupBy("digest").agg(
-            F.min(F.struct("doc_id", "signature")).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
+            F.min(F.struct("doc_id", "signature", "n_shingles")).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
         )
     )
-    signed = classes.select(F.col("first.doc_id").alias("id"), "first.signature")
+    signed = classes.select(F.col("first.doc_id").alias("id"), "digest", "first.signature", "first.n_shingles")
     pairs = candidates(orders(signed), 1 + DEPTH, 1 + FIRST, SMALL)
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    linked = linked_components(pairs, texts, width, percent, lambda found: across(signed, found, SMALL))
+    linked = linked_components(pairs, texts, width, percent, lambda found: across(signed, found, SMALL, texts, width, percent))
     # Only classes with several documents or with links need a component of their own.
     named = (
         classes.join(linked, F.col("low") == F.col("id"), "left")
