@@ -33,7 +33,6 @@ ROUTES: tuple[tuple[str, tuple[str, ...], str], ...] = (
                  r"^.*\.facebook\.com$"),
      r"/(?:api/graphql|graphql|messaging/send|llm/.*|chat/.*)(?:\?|$|/|#)"),
 )
-MAX_MESSAGE = 200_000
 
 
 def route_sql(url: str, page_host: str) -> str:
@@ -112,7 +111,7 @@ def _user_content(v: str, path: str = "$.messages") -> str:
 
 
 def _plausible(value: str) -> str:
-    return f"if(length({value}) BETWEEN 1 AND {MAX_MESSAGE} AND length(trim({value})) > 0, {value}, NULL)"
+    return f"if(length(trim({value})) > 0, {value}, NULL)"
 
 
 def _form_value(body: str, key: str) -> str:

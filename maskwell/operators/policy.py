@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from maskwell.rules.registry import PII_TYPES, PLACEHOLDER_OF, PROVIDERS
 
 ACTIONS = ("warned", "blocked", "anonymized", "dismissed")
-AUDIT_CAP = 1000
-ALLOWLIST_CAP = 1000
 
 
 def decide(
@@ -85,7 +83,7 @@ def recent_audit(audit: DataFrame, n: int = 100) -> DataFrame:
     return audit.orderBy(F.desc("ts"), *rest).limit(n)
 
 
-def cap_audit(audit: DataFrame, n: int = AUDIT_CAP) -> DataFrame:
+def cap_audit(audit: DataFrame, n: int) -> DataFrame:
     """The log keeps its newest rows: the feature is the cap."""
     return recent_audit(audit, n)
 
@@ -99,11 +97,11 @@ def merge_dismissals(allowlist: DataFrame, new: DataFrame) -> DataFrame:
         .groupBy("text_hash", "type")
         .agg(
             F.max("dismissed_at").alias("dismissed_at"),
-            F.sum("dismiss_count").cast("int").alias("dismiss_count"),
+            F.sum("dismiss_count").cast("bigint").alias("dismiss_count"),
         )
     )
 
 
-def cap_allowlist(allowlist: DataFrame, n: int = ALLOWLIST_CAP) -> DataFrame:
+def cap_allowlist(allowlist: DataFrame, n: int) -> DataFrame:
     """Evict the entries that were dismissed longest ago: a top-n, not a full sort."""
     return allowlist.orderBy(F.desc("dismissed_at"), "text_hash", "type").limit(n)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwell.rules.registry import CATEGORY_OF, PII_TYPES, PROVIDERS
+from maskwell.sources.tables import saved
 
 RETENTION_DAYS = 90
 
@@ -229,36 +229,32 @@ def missed_reports(reports: DataFrame) -> DataFrame:
     )
 
 
-RANK_BUCKETS = 4096
-
-
 def nearest_rank(df: DataFrame, column: str, p: float, out: str = "value") -> DataFrame:
-    """Nearest-rank percentile: the value at position ceil(p * n) of the sorted column.
+    """Nearest-rank percentile: the value at position ceil(p * n) of the sorted column, no row for an empty one.
 
-    Exact without a global sort: a histogram of at most 4097 buckets finds the bucket that
-    holds the rank, and only that bucket's distinct values are ranked. Only the histogram
-    totals reach the driver.
+    Exact. Equal values are counted before they move; the counts are range-partitioned, so no outlier and
+    no frequent value makes a large range. Running sums over the ranges, one row each, find the
+    one that holds the position, and only its values are ranked.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
-    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
-    schema = f"{out} double"
-    if not n:
-        return df.sparkSession.createDataFrame([], schema)
-    width = (high - low) / RANK_BUCKETS
-    slot = F.floor((F.col("v") - low) / width) if width > 0 else F.lit(0)
-    slot = slot.cast("long")
-    running = 0
-    rank = max(1, math.ceil(p * n))
-    chosen = before = 0
-    for number, size in sorted(values.groupBy(slot.alias("b")).count().collect()):
-        if running + size >= rank:
-            chosen, before = number, running
-            break
-        running += size
-    inside = values.where(slot == chosen).groupBy("v").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("v"))
+    counted = values.groupBy("v").agg(F.count("*").alias("c"))
+    # Written, as the numbers of the ranges must not change between the two reads.
+    ranged = saved(counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "ranks")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (
+        ranged.groupBy("part")
+        .agg(F.sum("c").alias("size"))
+        .withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+        .withColumn("rank", F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.sum("size").over(Window.partitionBy()))))
+        .where("before < rank AND before + size >= rank")
+        .select(F.col("part").alias("chosen"), "before", "rank")
+    )
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v"))
     return (
-        inside.withColumn("upto", upto)
-        .where(F.col("upto") >= rank - before)
+        ranged.join(ranges, F.col("part") == F.col("chosen"))
+        .withColumn("upto", upto)
+        .where("upto >= rank")
+        .groupBy("part")
         .agg(F.min("v").alias(out))
+        .select(out)
     )

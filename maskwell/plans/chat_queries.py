@@ -261,7 +261,7 @@ def q_recent_audit(spark, sf_dir):
 
 
 def q_cap_audit(spark, sf_dir):
-    return policy.cap_audit(_audit(spark, sf_dir))
+    return policy.cap_audit(_audit(spark, sf_dir), 1000)
 
 
 def q_search_audit(spark, sf_dir):
@@ -362,7 +362,7 @@ def q_merge_dismissals(spark, sf_dir):
 
 
 def q_cap_allowlist(spark, sf_dir):
-    return policy.cap_allowlist(q_merge_dismissals(spark, sf_dir))
+    return policy.cap_allowlist(q_merge_dismissals(spark, sf_dir), 1000)
 
 
 def q_vote(spark, sf_dir):
@@ -621,8 +621,8 @@ def chat_oracles() -> dict[str, str]:
         "prune_vault": f"SELECT CAST(session_id AS VARCHAR) AS session_id, ts AS created_at FROM ({CHAT_SQL}) WHERE ts >= TIMESTAMP '1997-06-30 00:00:00' - INTERVAL 720 HOUR",
         "drop_allowlisted": f"""{WITH} SELECT doc_id, type, value FROM sp WHERE NOT (type = 'SSN' AND value IN
             (SELECT value FROM sp WHERE type = 'SSN' AND (doc_id % 2 = 0 OR doc_id % 10 = 1)))""",
-        "merge_dismissals": f"{WITH}, {_DISMISS_SQL} SELECT text_hash, type, max(dismissed_at) AS dismissed_at, CAST(count(*) AS INTEGER) AS dismiss_count FROM dis GROUP BY ALL",
-        "cap_allowlist": f"""{WITH}, {_DISMISS_SQL} SELECT text_hash, type, max(dismissed_at) AS dismissed_at, CAST(count(*) AS INTEGER) AS dismiss_count
+        "merge_dismissals": f"{WITH}, {_DISMISS_SQL} SELECT text_hash, type, max(dismissed_at) AS dismissed_at, CAST(count(*) AS BIGINT) AS dismiss_count FROM dis GROUP BY ALL",
+        "cap_allowlist": f"""{WITH}, {_DISMISS_SQL} SELECT text_hash, type, max(dismissed_at) AS dismissed_at, CAST(count(*) AS BIGINT) AS dismiss_count
             FROM dis GROUP BY ALL ORDER BY dismissed_at DESC, text_hash, type LIMIT 1000""",
         "vote": f"""{WITH}, {_MODEL_SQL} SELECT s.doc_id, s.type, s.start, s."end", CASE WHEN m.type IS NULL THEN 'regex' ELSE 'both' END AS source,
               round(CASE WHEN m.type IS NULL THEN s.confidence ELSE least(1.0, greatest(s.confidence, m.confidence) + 0.05) END, 4) AS confidence

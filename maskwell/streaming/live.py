@@ -25,9 +25,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def checkpoint_dir(spark, name: str) -> str:
-    """A folder below the one the cluster names; a temporary one only where none is named."""
+    """A folder below the one the cluster names; a temporary one in local mode only, where every task can see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="run-")
