@@ -31,9 +31,11 @@ def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
+    """The folder that driver and executors share; one of our own only where none is set in local mode, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = getattr(shared_folder, "own", None)
         if folder is None:
             folder = shared_folder.own = tempfile.mkdtemp(prefix="maskwell-")
