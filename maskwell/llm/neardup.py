@@ -7,8 +7,8 @@ judged by the exact similarity of the full sets. Components of the links are the
 
 At similarity 0.8 two sets share the first four hashes of an order with probability 0.41, in at least one
 of 16 orders with 0.9998. A crowded region is cut deeper at first; once the components of those links are known,
-the rows outside its largest component are paired with all of the region that their sizes and the shingles
-they have in common with any other set allow, so that every two documents
+the rows outside its largest component are paired with those of the region that they can be similar to, by
+sizes, by what each shares with that component's core and by rare shingles in common, so that every two documents
 that share four hashes of an order are judged, connected or proven apart. Groups never meet in one task: copies with equal sets are aggregated where they are, and sorted
 orders are split by range.
 
@@ -72,63 +72,90 @@ def orders(signed: DataFrame) -> DataFrame:
     return rows.select(F.concat(number, part).alias("key"), "id")
 
 
-def shared_sizes(texts: DataFrame, width: int) -> DataFrame:
-    """code (of a set), shared: how many of its shingles stand in another one of these sets, too."""
+def shingles_by_id(texts: DataFrame, width: int) -> DataFrame:
+    """id, its distinct shingles."""
+    kind = dict(texts.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(words_of(text), width, hashes) for text in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                ],
-                names=["digest", "shingles"],
-            )
+            sets = [shingle_set(words_of(text), width, hashes).view(np.int64) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    rows = texts.select("text").mapInArrow(run, "digest binary, shingles array<bigint>")
-    rows = rows.select(F.xxhash64("digest").alias("code"), F.explode("shingles").alias("shingle"))
-    # Shingles of one set only; a text that stands in several rows is still one set.
-    single = rows.groupBy("shingle").agg(F.min("code").alias("code"), F.max("code").alias("high")).filter("code = high")
-    return single.groupBy("code").agg(F.count("*").alias("single"))
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, shingles array<bigint>")
 
 
-def across(signed: DataFrame, found: DataFrame, small: int, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that share `FIRST` levels in a crowded region and whose components differ.
+def split_by_core(relations: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """For every (top, id, own) of `relations`: n, c and extras.
 
-    In each region the largest component stands aside: only the rows outside it are paired, with every row of
-    the region whose set can be similar. Two sets have no more in common than either shares with any other set of
-    these regions; where that is too little for their sizes, they are no pair. Of the pairs those remain
-    whose signatures agree in at least `AGREE` of their hashes.
+    The core of a component `top` are the shingles that more than half of its documents hold. `n` is the size
+    of the set of `id`, `c` how many of it lie in the core, `extras` the others that some further document
+    beside `top` has, too: structs (df, shingle), rarest first. Its length is bounded by that of the document.
+    """
+    sets = shingles_by_id(texts.join(relations.select("id"), "id", "left_semi"), width)
+    held = saved(relations.join(sets, "id").select("top", "id", "own", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
+    members = relations.groupBy("top").agg(F.count_if(F.col("own") == F.col("top")).alias("members"))
+    known = (
+        held.groupBy("top", "shingle")
+        .agg(F.count("*").alias("df"), F.count_if(F.col("own") == F.col("top")).alias("inside"))
+        .filter("df > 1 OR inside > 0")
+        .join(members, "top")
+        .select("top", "shingle", "df", (2 * F.col("inside") > F.col("members")).alias("core"))
+    )
+    extra = F.when(~F.col("core") & (F.col("df") > 1), F.struct("df", "shingle"))
+    return (
+        held.join(known, ["top", "shingle"], "left")
+        .groupBy("top", "id", "own", "n")
+        .agg(F.count_if("core").alias("c"), F.sort_array(F.collect_list(extra)).alias("extras"))
+    )
+
+
+def across(signed: DataFrame, found: DataFrame, small: int, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that share `FIRST` levels in a crowded region, whose components differ and that may be similar.
+
+    In each region the largest component stands aside: only the rows outside it are paired. Two sets have in
+    common at most the smaller of their parts in that component's core, and the extras they share. Where the core
+    parts alone could suffice, the rows of the region are paired by sizes. All other pairs must share a number of
+    extras that follows from their sizes, so they meet at an extra among the rarest of both (a prefix filter
+    with the length that each pair needs). Of these pairs those remain whose signatures agree in at least `AGREE`
+    of their hashes.
     """
     size = 4 * (1 + FIRST)
     rows = orders(signed).select(F.expr(f"substring(key, 1, {size})").alias("region"), "id")
     crowded = rows.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > small).select("region")
     rows = rows.join(crowded, "region").join(found, "id", "left")
     rows = saved(rows.select("region", "id", F.coalesce("component", "id").alias("own")))
+    sizes = rows.select("own", "id").distinct().groupBy("own").agg(F.count("*").alias("n"))
+    # Regions that one component fills have nothing to pair.
     largest = (
-        rows.groupBy("region", "own").agg(F.count("*").alias("n")).groupBy("region").agg(F.max(F.struct("n", "own")).alias("top"))
-    )
-    met = signed.join(rows.select("id").distinct(), "id", "left_semi").select("id", F.xxhash64("digest").alias("code"), "n_shingles")
-    single = shared_sizes(texts.join(met.select("id"), "id", "left_semi"), width)
-    sizes = saved(
-        met.join(single, "code", "left").select(
-            "id", "n_shingles", (F.col("n_shingles") - F.coalesce("single", F.lit(0))).alias("shared")
-        )
-    )
-    rows = rows.join(sizes, "id")
-    outside = rows.join(largest.select("region", F.col("top.own").alias("top")), "region").filter(F.col("own") != F.col("top"))
-    other = rows.select(
-        "region", F.col("id").alias("b"), F.col("own").alias("other"), F.col("n_shingles").alias("n_b"), F.col("shared").alias("shared_b")
+        rows.select("region", "own").distinct().join(sizes, "own").groupBy("region")
+        .agg(F.max(F.struct("n", "own")).alias("top"), F.min("own").alias("low"), F.max("own").alias("high"))
+        .filter("low < high")
+        .select("region", F.col("top.own").alias("top"))
     )
-    most = F.least("shared", "shared_b")
+    placed = saved(rows.join(largest, "region"))
+    split = saved(split_by_core(saved(placed.select("top", "id", "own").distinct()), texts, width))
+
+    def ends(rows: DataFrame, *on: str) -> tuple[DataFrame, DataFrame]:
+        own = ["id", "own", "n", "c"] + [c for c in ("x", "rank") if c in rows.columns]
+        one, two = (rows.select(*on, *(F.col(c).alias(f"{c}_{side}") for c in own)) for side in "ab")
+        return one.filter(F.col("own_a") != F.col("top")), two
+
+    total = F.col("n_a") + F.col("n_b")
+    core = F.least("c_a", "c_b")
+    other = (F.col("own_a") != F.col("own_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    one, two = ends(placed.join(split.drop("own", "extras"), ["top", "id"]), "region", "top")
+    near = one.join(two.drop("top"), "region").filter(other & (core * (100 + percent) >= total * percent))
+
+    needed = F.ceil(total * percent / (100 + percent)) - core
+    at = split.select("top", "id", "own", "n", "c", F.size("extras").alias("x"), F.posexplode("extras").alias("rank", "extra"))
+    one, two = ends(at.withColumn("shingle", F.col("extra.shingle")), "top", "shingle")
+    in_reach = (F.col("rank_a") <= F.col("x_a") - needed) & (F.col("rank_b") <= F.col("x_b") - needed)
+    apart = one.join(two, ["top", "shingle"]).filter(other & (needed > 0) & in_reach)
     pairs = (
-        outside.select("region", F.col("id").alias("a"), "own", "n_shingles", "shared")
-        .join(other, "region")
-        .filter(F.col("own") != F.col("other"))
-        .filter(most * (100 + percent) >= (F.col("n_shingles") + F.col("n_b")) * percent)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        near.select("id_a", "id_b")
+        .unionByName(apart.select("id_a", "id_b"))
+        .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
         .distinct()
     )
 
