@@ -69,6 +69,20 @@ def test_near_duplicates(docs, width):
             assert r.kept == (r.component_id == r.doc_id)
 
 
+def test_offshoots_of_a_crowded_group(spark):
+    """Each offshoot repeats the edits of one member and adds some: similar to it and to few others."""
+    random = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(150)]
+    members = [edited(random, base, 6) for _ in range(60)]
+    offshoots = [edited(random, members[i], 7) for i in range(0, 60, 4)]
+    strangers = [edited(random, base, 12) for _ in range(30)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(members + offshoots + strangers)]
+    table = saved(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    _, groups = jaccard_groups(table, 2)
+    out = neardup.groups(table, 2).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: groups.find(i) for i, _ in rows}
+
+
 def test_near_duplicates_of_nothing(docs):
     assert neardup.groups(docs.limit(0)).count() == 0
 
