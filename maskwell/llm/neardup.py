@@ -110,18 +110,15 @@ def split_by_core(relations: DataFrame, texts: DataFrame, width: int) -> DataFra
     )
 
 
-def across(signed: DataFrame, found: DataFrame, small: int, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that share `FIRST` levels in a crowded region, whose components differ and that may be similar.
+def late_pairs(rows: DataFrame, found: DataFrame, small: int, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of `rows` (region, id) that share a crowded region, whose components differ and that may be similar.
 
     In each region the largest component stands aside: only the rows outside it are paired. Two sets have in
     common at most the smaller of their parts in that component's core, and the extras they share. Where the core
     parts alone could suffice, the rows of the region are paired by sizes. All other pairs must share a number of
     extras that follows from their sizes, so they meet at an extra among the rarest of both (a prefix filter
-    with the length that each pair needs). Of these pairs those remain whose signatures agree in at least `AGREE`
-    of their hashes.
+    with the length that each pair needs).
     """
-    size = 4 * (1 + FIRST)
-    rows = orders(signed).select(F.expr(f"substring(key, 1, {size})").alias("region"), "id")
     crowded = rows.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > small).select("region")
     rows = rows.join(crowded, "region").join(found, "id", "left")
     rows = saved(rows.select("region", "id", F.coalesce("component", "id").alias("own")))
@@ -152,13 +149,20 @@ def across(signed: DataFrame, found: DataFrame, small: int, texts: DataFrame, wi
     one, two = ends(at.withColumn("shingle", F.col("extra.shingle")), "top", "shingle")
     in_reach = (F.col("rank_a") <= F.col("x_a") - needed) & (F.col("rank_b") <= F.col("x_b") - needed)
     apart = one.join(two, ["top", "shingle"]).filter(other & (needed > 0) & in_reach)
-    pairs = (
+    return (
         near.select("id_a", "id_b")
         .unionByName(apart.select("id_a", "id_b"))
         .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
         .distinct()
     )
 
+
+def across(signed: DataFrame, found: DataFrame, small: int, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The late pairs of regions of `FIRST` levels whose signatures agree in at least `AGREE` of their hashes."""
+    size = 4 * (1 + FIRST)
+    rows = orders(signed).select(F.expr(f"substring(key, 1, {size})").alias("region"), "id")
+    pairs = late_pairs(rows, found, small, texts, width, percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u4").reshape(-1, TREES * DEPTH) for c in ("sa", "sb"))

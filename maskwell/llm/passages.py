@@ -4,7 +4,9 @@ A document's paragraphs are its lines. Those of at least `MIN_WORDS` words are s
 sequences of words are one class, found by digest. Classes are banded: `BANDS` bands of `ROWS` minimum hashes, so
 that two paragraphs of similarity 0.8 share a band with probability 0.9998. Classes with a band in common become
 candidates (see `forest`: all of them in small bands, chains and stars in large ones), are judged by the exact
-similarity of their sets, and linked ones form clusters. In a cluster with more than one paragraph the first
+similarity of their sets, and linked ones form clusters. What these links leave apart in a large band is paired
+as op7 does it (see `neardup.late_pairs`), so that every two classes with a band in common are judged, connected
+or proven apart. In a cluster with more than one paragraph the first
 one, by document id and place, stays; the others are removals.
 
 Defined results: null and empty texts and shorter lines have no paragraphs here; with fewer words than a shingle a
@@ -24,11 +26,14 @@ from pyspark.sql import functions as F
 
 from maskwell.llm.common import saved, table
 from maskwell.llm.forest import candidates
+from maskwell.llm.neardup import late_pairs
 from maskwell.llm.shingles import MinHash, WordHashes, linked_components, shingle_set, words_of
 
 MIN_WORDS = 25
 BANDS, ROWS = 16, 4
 WIDTH, PERCENT = 5, 80
+#: Classes of a band that are all paired at once.
+SMALL = 8
 
 
 def paragraphs(docs: DataFrame, min_words: int, width: int) -> DataFrame:
@@ -83,16 +88,17 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, pe
     rows = classes.select("id", "bands", band).select(
         F.concat(F.unhex(F.lpad(F.hex("band"), 8, "0")), F.expr("substring(bands, band * 8 + 1, 8)")).alias("key"), "id"
     )
-    pairs = saved(candidates(rows, 3, 3))
+    pairs = saved(candidates(rows, 3, 3, SMALL))
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     source = docs.select(F.col("doc_id").alias("of"), "text")
-    texts = (
+    texts = saved(
         classes.join(ids, "id", "left_semi")
         .select("id", "doc_id", "start", "end")
         .join(source.hint("merge"), F.col("doc_id") == F.col("of"))
         .select("id", F.expr("substring(text, int(start + 1), int(end - start))").alias("text"))
     )
-    linked = linked_components(pairs, texts, width, percent).select("id", "component")
+    regions = rows.withColumnRenamed("key", "region")
+    linked = linked_components(pairs, texts, width, percent, lambda found: late_pairs(regions, found, SMALL, texts, width, percent))
     clusters = classes.join(linked, "id", "left").select("id", "n", "doc_id", "place", F.coalesce("component", "id").alias("cluster"))
     totals = (
         clusters.groupBy("cluster")

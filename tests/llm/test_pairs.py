@@ -157,6 +157,21 @@ def test_repeated_passages(spark):
     assert passages.repeated(df.limit(0)).count() == 0
 
 
+def test_passages_near_a_crowded_band(spark):
+    """Each offshoot repeats the edit of one member and adds some: similar to it and to few others."""
+    random = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(150)]
+    members = [edited(random, base, 2) for _ in range(60)]
+    offshoots = [edited(random, members[i], 3) for i in range(0, 60, 3)]
+    strangers = [edited(random, base, 6) for _ in range(30)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(members + offshoots + strangers)]
+    table = saved(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    _, groups = jaccard_groups(table, 5)
+    want = {i: groups.find(i) for i, _ in rows}
+    out = passages.repeated(table).collect()
+    assert {r.doc_id: r.cluster_doc_id for r in out} == {i: c for i, c in want.items() if list(want.values()).count(c) > 1}
+
+
 def slow_align(d, t):
     h = np.zeros((len(t) + 1, len(d) + 1), int)
     for i in range(1, len(t) + 1):
