@@ -1,12 +1,10 @@
-"""Benchmark decontamination: rare n-grams seed a local alignment of documents with test items.
+"""Benchmark decontamination: n-grams of the items seed a local alignment of documents with them.
 
-The n-grams (five words) of all items are set in a Bloom filter of fixed size, which goes to every task; documents
-whose words meet it come out with their hits, the others never leave their task. Hits are joined with the items'
-n-grams. A seed is rare if at most one document in a thousand holds it (or a hundred of them), or at most four times as many
-as hold the median n-gram of its item, so that an item which leaked everywhere keeps most of its seeds. A document and an item that
-share a rare seed are aligned by Smith-Waterman over words, within the part of the document that the seeds span
-plus the item's length on both sides. The score is that of the best local alignment divided by the item's
-own, so a whole copy has 1 and edits cost their share.
+The n-grams (five words) of the items go to every task as a sorted index, a bounded part of the items at a time.
+A document and an item that share a seed, however common it is, are aligned by Smith-Waterman over words, in the
+part of the document where the seeds stand, with the item's length and what gaps can add around it. Nothing is
+shuffled: a seed that many documents hold costs one alignment in each. The score is that of the best local alignment
+divided by the item's own, so a whole copy has 1 and edits cost their share.
 
 Words are runs of letters, digits and underscores in lower case. Defined results: a null or empty text or item
 matches nothing; an item shorter than the seed is one seed; equal scores go to the alignment that ends
@@ -17,11 +15,12 @@ are left out.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +29,8 @@ from maskwell.llm.shingles import WordHashes
 
 WIDTH = 5
 MIN_SCORE = 0.6
-#: Seeds in more documents than this share of all are common.
-COMMON = 0.001
-FEW, TIMES = 100, 4
-#: Bits of the Bloom filter, as a power of two: four megabytes.
-FILTER_BITS = 25
+#: Characters of items that are sent to the tasks at a time; more items take more passes over the documents.
+PART = 16_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 WORD = re.compile(r"\w+")
@@ -57,11 +53,9 @@ def grams(words: list[str], width: int, hashes: WordHashes) -> np.ndarray:
     return s.view(np.int64)
 
 
-def probes(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of every hash in the filter."""
-    u = g.view(np.uint64)
-    low = np.uint64((1 << FILTER_BITS) - 1)
-    return (u & low).astype(np.int64), ((u >> np.uint64(32)) & low).astype(np.int64)
+def seed_bound(n: int, width: int, min_score: float) -> tuple[int, int]:
+    """Seed width of an item of `n` words, and how many of its seeds a document must hold."""
+    return width, 1
 
 
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
@@ -87,149 +81,146 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return score, end - length, end
 
 
-def seeds_of(items: DataFrame, width: int) -> DataFrame:
-    """(gram, item_id, at) for every n-gram of every item."""
-    kind = dict(items.dtypes)["item_id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                g = grams(words_of(text), width, hashes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g), pa.array([item] * len(g), batch.schema.field(0).type), pa.array(np.arange(len(g)))],
-                    names=["gram", "item_id", "at"],
-                )
-
-    return items.mapInArrow(run, f"gram bigint, item_id {kind}, at bigint")
-
-
-def gram_filter(seeds: DataFrame) -> np.ndarray:
-    """The Bloom filter as bytes; at most 2^FILTER_BITS / 64 numbers reach the driver."""
-    low = (1 << FILTER_BITS) - 1
-    bit = F.explode(
-        F.array(F.col("gram").bitwiseAND(low), F.shiftrightunsigned("gram", 32).bitwiseAND(low))
-    )
-    rows = (
-        seeds.select(bit.alias("bit"))
-        .groupBy(F.shiftright("bit", 5).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 31))")).alias("bits"))
-        .collect()
+@dataclass
+class Index:
+    """The grams of some items, sorted, with the item and the place of each."""
+
+    ids: pa.Array
+    #: Words of each item by number, and each item as such numbers.
+    codes: dict[str, int]
+    targets: list[np.ndarray]
+    #: For every width: grams, item numbers, places.
+    grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: For every item: grams that an accepted alignment holds at least, and how far apart their diagonals lie at most.
+    needed: np.ndarray
+    reach: np.ndarray
+
+
+def index_of(ids: pa.Array, texts: list[str], width: int, min_score: float) -> Index:
+    hashes, codes = WordHashes(), {}
+    targets, needed, reach = [], [], []
+    lists: dict[int, list] = {}
+    for n, text in enumerate(texts):
+        words = words_of(text)
+        targets.append(np.array([codes.setdefault(w, len(codes)) for w in words], np.int64))
+        w, least = seed_bound(len(words), width, min_score)
+        needed.append(least)
+        reach.append(int(MATCH * len(words) * (1 - min_score) / -GAP + 1e-9))
+        g = grams(words, w, hashes)
+        lists.setdefault(min(w, len(words)), []).append((g, np.full(len(g), n), np.arange(len(g))))
+    found = {}
+    for w, parts in lists.items():
+        g, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(g, kind="stable")
+        found[w] = (g[order], item[order], at[order])
+    found.pop(0, None)
+    return Index(ids, codes, targets, found, np.array(needed, np.int64), np.array(reach, np.int64))
+
+
+def windows(words: list[str], index: Index, hashes: WordHashes) -> Iterator[tuple[int, int, int, int]]:
+    """(item number, lowest and highest diagonal, distinct grams) wherever enough grams of an item lie close together."""
+    item, at, place = [], [], []
+    for w, (sorted_grams, items, places) in index.grams.items():
+        if len(words) < w:
+            continue
+        g = grams(words, w, hashes)
+        low, high = np.searchsorted(sorted_grams, g, "left"), np.searchsorted(sorted_grams, g, "right")
+        n = high - low
+        if not n.any():
+            continue
+        k = np.repeat(np.arange(len(g)), n)
+        pick = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item.append(items[pick])
+        at.append(places[pick])
+        place.append(k)
+    if not item:
+        return
+    item, at, place = np.concatenate(item), np.concatenate(at), np.concatenate(place)
+    diagonal = place - at
+    order = np.lexsort((diagonal, item))
+    item, at, diagonal = item[order], at[order], diagonal[order]
+    last = np.arange(len(item)) + index.needed[item] - 1
+    end = np.minimum(last, len(item) - 1)
+    ok = (last < len(item)) & (item[end] == item) & (diagonal[end] - diagonal <= index.reach[item])
+    start = 0
+    good = np.nonzero(ok)[0]
+    while start < len(good):
+        # Starts whose windows overlap are one.
+        stop = start + 1
+        own = item[good[start]]
+        while stop < len(good) and item[good[stop]] == own and diagonal[good[stop]] - diagonal[good[stop - 1]] <= index.reach[own]:
+            stop += 1
+        low, high = diagonal[good[start]], diagonal[good[stop - 1]] + index.reach[own]
+        inside = (item == own) & (diagonal >= low) & (diagonal <= high)
+        distinct = len(np.unique(at[inside]))
+        if distinct >= index.needed[own]:
+            yield int(own), int(low), int(high), distinct
+        start = stop
+
+
+def aligned(text: str | None, index: Index, hashes: WordHashes, min_score: float) -> dict[int, tuple[float, int, int, int]]:
+    """By item number: score, first word, end and seeds of the best alignment, where it is good enough."""
+    words = words_of(text)
+    best: dict[int, tuple[float, int, int, int]] = {}
+    d = None
+    for item, low, high, n_seeds in windows(words, index, hashes):
+        if d is None:
+            d = np.array([index.codes.get(w, -1) for w in words], np.int64)
+        target = index.targets[item]
+        # From the lowest diagonal's first word to the highest one's last, with as much again for words before the first gram.
+        start = max(0, low - int(index.reach[item]))
+        part = d[start : high + len(target) + int(index.reach[item])]
+        if np.isin(target, part).sum() < min_score * len(target) - 1e-9:
+            continue
+        score, a, b = align(part, target)
+        if score >= min_score * MATCH * len(target) and (item not in best or score / (MATCH * len(target)) > best[item][0]):
+            best[item] = (score / (MATCH * len(target)), start + a, start + b, n_seeds)
+    return best
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_score: float = MIN_SCORE) -> DataFrame:
+    """doc_id, item_id, score, start_word, end_word, n_seeds for every document and item that align well."""
+    items = saved(benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text"))
+    kinds = dict(docs.dtypes) | dict(items.dtypes)
+    schema = (
+        f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, score double, start_word bigint, end_word bigint, n_seeds bigint"
     )
-    words = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    for r in rows:
-        words[r.word] = r.bits
-    return words
-
-
-def hit_rows(docs: DataFrame, seeds: DataFrame, widths: list[int], width: int) -> DataFrame:
-    """(row, doc_id, text, hits) of the documents that hold a gram of some item; `row` tells rows apart."""
-    sent = docs.sparkSession.sparkContext.broadcast(gram_filter(seeds))
-    kind = dict(docs.dtypes)["doc_id"]
-
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
+    parts = max(1, -(-size // PART))
+    out = None
+    for n in range(parts):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == n).toArrow()
+        ids = part.column("item_id").combine_chunks()
+        index = index_of(ids, part.column("text").to_pylist(), width, min_score)
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+        found = docs.select("doc_id", "text").mapInArrow(aligner(sent, min_score), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def aligner(sent: Broadcast, min_score: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = WordHashes(), sent.value
-        row = TaskContext.get().partitionId() << 40
+        hashes, index = WordHashes(), sent.value
         for batch in batches:
-            at, rows, hits = [], [], []
+            at, item, out = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                words = words_of(text)
-                own = []
-                for w in widths:
-                    if len(words) < w:
-                        continue
-                    g = grams(words, w, hashes)
-                    p, q = probes(g)
-                    ok = (bits[p >> 5] >> (p & 31).astype(np.uint32)) & (bits[q >> 5] >> (q & 31).astype(np.uint32)) & 1
-                    own += [(int(g[k]), int(k)) for k in np.nonzero(ok)[0]]
-                if own:
+                for n, row in aligned(text, index, hashes, min_score).items():
                     at.append(i)
-                    rows.append(row)
-                    hits.append([{"gram": x, "place": k} for x, k in own])
-                    row += 1
+                    item.append(n)
+                    out.append(row)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(rows, pa.int64()),
                     batch.column(0).take(pa.array(at, pa.int64())),
-                    batch.column(1).take(pa.array(at, pa.int64())),
-                    pa.array(hits, pa.list_(pa.struct([("gram", pa.int64()), ("place", pa.int64())]))),
-                ],
-                names=["row", "doc_id", "text", "hits"],
-            )
-
-    schema = f"row bigint, doc_id {kind}, text string, hits array<struct<gram:bigint,place:bigint>>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def contaminated(
-    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_score: float = MIN_SCORE, common: float = COMMON
-) -> DataFrame:
-    """doc_id, item_id, score, start_word, end_word, n_seeds for every document and item that align well."""
-    items = saved(
-        benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", F.col("text").alias("item"))
-    )
-    seeds = saved(seeds_of(items, width))
-    # Items shorter than the seed are seeds of their own length.
-    n_words = F.size(F.regexp_extract_all("item", F.lit(r"([\p{L}\p{N}_\p{M}]+)"), F.lit(1)))
-    short = [r.n for r in items.select(n_words.alias("n")).filter(F.col("n").between(1, width - 1)).distinct().collect()]
-    found = saved(hit_rows(docs, seeds, sorted({width, *short}), width))
-    total = docs.select("doc_id").count()
-    hits = found.select("row", F.explode("hits").alias("hit")).select("row", "hit.gram", "hit.place")
-    frequency = hits.groupBy("gram").agg(F.countDistinct("row").alias("df"))
-    counted = saved(seeds.join(frequency, "gram"))
-    usual = counted.groupBy("item_id").agg((F.percentile("df", F.lit(0.5)) * TIMES).alias("usual"))
-    rare = saved(
-        counted.join(usual, "item_id")
-        .filter(F.col("df") <= F.greatest("usual", F.lit(float(max(FEW, common * total)))))
-        .select("gram", "item_id", "at")
-    )
-    pairs = (
-        hits.join(rare, "gram")
-        .groupBy("row", "item_id")
-        .agg(
-            F.min(F.col("place") - F.col("at")).alias("low"),
-            F.max(F.col("place") - F.col("at")).alias("high"),
-            F.countDistinct("gram").alias("n_seeds"),
-        )
-    )
-    kinds = dict(found.dtypes) | dict(items.dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, out = [], []
-            columns = (batch.column(c).to_pylist() for c in ("text", "item", "low", "high"))
-            for i, (text, item, low, high) in enumerate(zip(*columns, strict=True)):
-                target, words = words_of(item), words_of(text)
-                start = max(0, low - len(target))
-                words = words[start : high + 2 * len(target)]
-                codes = {w: k for k, w in enumerate(dict.fromkeys(target))}
-                d = np.array([codes.get(w, -1) for w in words])
-                score, a, b = align(d, np.array([codes[w] for w in target]))
-                if score >= min_score * MATCH * len(target):
-                    keep.append(i)
-                    out.append((score / (MATCH * len(target)), start + a, start + b))
-            rows = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column("doc_id"),
-                    rows.column("item_id"),
+                    index.ids.take(pa.array(item, pa.int64())),
                     pa.array([x[0] for x in out], pa.float64()),
                     pa.array([x[1] for x in out], pa.int64()),
                     pa.array([x[2] for x in out], pa.int64()),
-                    rows.column("n_seeds"),
+                    pa.array([x[3] for x in out], pa.int64()),
                 ],
                 names=["doc_id", "item_id", "score", "start_word", "end_word", "n_seeds"],
             )
 
-    schema = (
-        f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, score double, start_word bigint, end_word bigint, n_seeds bigint"
-    )
-    return (
-        pairs.join(found.select("row", "doc_id", "text"), "row")
-        .join(items, "item_id")
-        .select("doc_id", "item_id", "text", "item", "low", "high", "n_seeds")
-        .mapInArrow(run, schema)
-    )
+    return run
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -210,6 +210,17 @@ def test_contaminated_documents(spark):
     assert decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_seeds_common_to_many_documents(spark):
+    """One edited version in a large group leaves the item's other seeds rare; none of the copies may be lost."""
+    item = [f"i{i}" for i in range(40)]
+    copy = [w if i not in (4, 13, 22, 31) else f"e{i}" for i, w in enumerate(item)]
+    rows = [(i, " ".join(copy)) for i in range(450)] + [(1000, " ".join(item)), (1001, "none of it")]
+    df = saved(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    out = decontam.contaminated(df, bench).collect()
+    assert {r.doc_id: round(r.score, 2) for r in out} == {i: 0.85 for i in range(450)} | {1000: 1.0}
+
+
 def test_pipeline_stages_agree_with_their_operators(spark, tmp_path):
     import corpus_pipeline
 
