@@ -1,19 +1,21 @@
 """Benchmark decontamination: n-grams of the items seed a local alignment of documents with them.
 
-The n-grams (five words) of the items go to every task as a sorted index, a bounded part of the items at a time.
-A document and an item that share a seed, however common it is, are aligned by Smith-Waterman over words, in the
-part of the document where the seeds stand, with the item's length and what gaps can add around it. Nothing is
-shuffled: a seed that many documents hold costs one alignment in each. The score is that of the best local alignment
+The word pairs of the items go to every task as a sorted index, a bounded part of the items at a time. How many pairs
+an accepted alignment must hold follows from the item's length and the least score (see `seed_bound`), and so does how
+far gaps can shift them. Where so many stand close enough together, document and item are aligned by Smith-Waterman
+over words, in that part of the document with the item's length and what gaps can add around it. Nothing is
+shuffled or dropped for being common: a seed that many documents hold costs one alignment in each. The score is that of the best local alignment
 divided by the item's own, so a whole copy has 1 and edits cost their share.
 
 Words are runs of letters, digits and underscores in lower case. Defined results: a null or empty text or item
-matches nothing; an item shorter than the seed is one seed; equal scores go to the alignment that ends
+matches nothing; an item of fewer than five words is one seed; equal scores go to the alignment that ends
 first; rows that repeat give repeated rows; a null document id is reported as null, items with a null id
 are left out.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from maskwell.llm.common import saved, table
 from maskwell.llm.shingles import WordHashes
 
-WIDTH = 5
+WIDTH = 2
+#: Items with fewer words count only as a whole.
+SHORT = 5
 MIN_SCORE = 0.6
 #: Characters of items that are sent to the tasks at a time; more items take more passes over the documents.
 PART = 16_000_000
@@ -54,8 +58,18 @@ def grams(words: list[str], width: int, hashes: WordHashes) -> np.ndarray:
 
 
 def seed_bound(n: int, width: int, min_score: float) -> tuple[int, int]:
-    """Seed width of an item of `n` words, and how many of its seeds a document must hold."""
-    return width, 1
+    """Seed width of an item of `n` words, and how many of its seeds an accepted alignment holds at least.
+
+    With m words matched and e edits 2 m - e >= 2 min_score n and m <= n, so e <= 2 n (1 - min_score). The matched words
+    form at most e + 1 runs, which hold m - e - 1 pairs: (2 min_score - 1) n - 1 at least. Where that gives
+    no pair, single words are the seeds.
+    """
+    if n < SHORT:
+        return SHORT, 1
+    pairs = math.ceil((2 * min_score - 1) * n - 1 - 1e-9)
+    if width == 2 and pairs >= 1:
+        return 2, pairs
+    return 1, max(1, math.ceil(min_score * n - 1e-9))
 
 
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:

@@ -221,6 +221,33 @@ def test_seeds_common_to_many_documents(spark):
     assert {r.doc_id: round(r.score, 2) for r in out} == {i: 0.85 for i in range(450)} | {1000: 1.0}
 
 
+def test_seeds_miss_no_alignment(spark):
+    """Copies edited at every few words, by words replaced, put in and left out, against aligning all items."""
+    random = np.random.default_rng(14)
+    words = [f"u{i}" for i in range(150)]
+    items = [list(random.choice(words, n)) for n in (5, 6, 8, 15, 15, 16, 20, 30, 40)]
+    rows = []
+    for i in range(270):
+        copy, step, kind = list(items[i % 9]), int(random.integers(1, 6)), i // 9 % 3
+        for at in range(len(copy) - 1, 0, -step):
+            copy[at : at + (kind != 1)] = [] if kind == 2 else [f"new{at}"]
+        text = list(random.choice(words, 80))
+        text[30:30] = copy
+        rows.append((i, " ".join(text)))
+    df = saved(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    code = {w: i for i, w in enumerate(words)}
+    want = {}
+    for i, text in rows:
+        d = np.array([code.get(w, -1) for w in text.split()])
+        for n, item in enumerate(items):
+            score = decontam.align(d, np.array([code[w] for w in item]))[0] / (2 * len(item))
+            if score >= 0.6:
+                want[i, n] = score
+    assert len(want) > 100
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(df, bench).collect()} == want
+
+
 def test_pipeline_stages_agree_with_their_operators(spark, tmp_path):
     import corpus_pipeline
 
