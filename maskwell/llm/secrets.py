@@ -6,7 +6,10 @@ more), `hex` (runs of 24 or more). Per kind, matches are leftmost and do not ove
 `random`: runs of 20 or more of the characters of keys, with letters and digits, whose characters per
 token under a byte-level BPE are few. Natural words and names merge into long tokens; random ones do
 not. Taken out first: digests (hex of the usual lengths), UUIDs, and identifiers whose parts between
-separators are words or numbers. A random run inside a base span adds nothing and is left out.
+separators are words or numbers. Where a run as a whole is not random, its parts are judged: it is cut at
+separators, words (few tokens for their characters), numbers, digests and UUIDs go, and what stands together
+between them is random by the same measure, with or without digits. A random run inside a base span adds
+nothing and is left out.
 
 Defined results: a null or empty text has no spans; texts are searched whole; positions count code
 points, the end is exclusive; repeated rows give repeated results.
@@ -15,7 +18,7 @@ points, the end is exclusive; repeated rows give repeated results.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +44,11 @@ DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 IDENTIFIER = re.compile(r"(?:[A-Za-z]+|[0-9]+|[A-Za-z]+[0-9]{1,4})(?:[+/_=-]+(?:[A-Za-z]+|[0-9]+|[A-Za-z]+[0-9]{1,4}))*[+/_=-]*")
 
+PART = re.compile(r"[A-Za-z0-9]+")
+LEAST = 20
+#: Shorter parts are neither words nor enough for a random part, they go with those beside them.
+WORD_LEAST = 4
+
 SPANS = T.ArrayType(
     T.StructType(
         [
@@ -59,6 +67,28 @@ def known_shape(run: str) -> bool:
     return bool(UUID.fullmatch(run) or IDENTIFIER.fullmatch(run))
 
 
+def random_parts(run: str, count_tokens: Callable[[str], int], limit: float) -> Iterator[tuple[int, int]]:
+    """Start and end of the random parts of a run, words and known shapes left out."""
+    uuids = [m.span() for m in UUID.finditer(run)]
+    start = end = None
+    costly = False
+    for m in [*PART.finditer(run), None]:
+        if m is not None:
+            part = m[0]
+            word = len(part) >= WORD_LEAST and (
+                part.isdigit()
+                or (len(part) in DIGEST_LENGTHS and DIGEST.fullmatch(part))
+                or (part.isalpha() and len(part) / count_tokens(part) >= limit)
+            )
+            if not word and not any(x <= m.start() and m.end() <= y for x, y in uuids):
+                start, end = m.start() if start is None else start, m.end()
+                costly = costly or len(part) >= WORD_LEAST
+                continue
+        if costly and end - start >= LEAST and (end - start) / count_tokens(run[start:end]) < limit:
+            yield start, end
+        start, end, costly = None, None, False
+
+
 def spans_of(text: str, count_tokens: Callable[[str], int], limit: float) -> list[tuple[int, str, int]]:
     """(start, kind, end) by start, then by kind as listed."""
     found = []
@@ -72,11 +102,15 @@ def spans_of(text: str, count_tokens: Callable[[str], int], limit: float) -> lis
     base = list(found)
     for a, b in runs:
         run = text[a:b]
-        mixed = re.search("[0-9]", run) and re.search("[A-Za-z]", run)
-        if not mixed or known_shape(run) or any(x <= a and b <= y for x, _, y in base):
+        if any(x <= a and b <= y for x, _, y in base):
             continue
-        if (b - a) / count_tokens(run) < limit:
+        mixed = re.search("[0-9]", run) and re.search("[A-Za-z]", run)
+        if mixed and not known_shape(run) and (b - a) / count_tokens(run) < limit:
             found.append((a, 3, b))
+            continue
+        for x, y in random_parts(run, count_tokens, limit):
+            if not any(u <= a + x and a + y <= v for u, _, v in base):
+                found.append((a + x, 3, a + y))
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
 
 

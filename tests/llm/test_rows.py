@@ -86,6 +86,26 @@ def test_known_shapes_are_no_secrets():
     assert not secrets.known_shape("Zq8Xw2Lp9Rt4Vb7NkD3f")
 
 
+def test_words_joined_to_a_secret_do_not_hide_it():
+    path, pattern = bpe.public_file()
+    count = secrets.tokenizer(secrets.read_ranks(path), pattern)
+    random = np.random.default_rng(15)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+    def find(text):
+        return secrets.spans_of(text, lambda run: len(count.encode(run)), secrets.MAX_CHARS_PER_TOKEN)
+
+    for _ in range(100):
+        mixed = "".join(random.choice(letters + list("0123456789"), 24))
+        only = "".join(random.choice(letters, 24))
+        for secret in (mixed, only, mixed[:9] + "/" + mixed[9:]):
+            for before, after in (("", ""), ("production_database_connection_string=", ""), ("some/long/folder/of/documents/", "/downloads")):
+                (a, kind, b), *more = find(f"x {before}{secret}{after} y")
+                assert kind == "random" and not more and a <= 2 + len(before) and b >= 2 + len(before + secret), secret
+    for name in ("some_long_identifier_name_2", "production_database_connection_string=default_value", "documents/550e8400-e29b-41d4-a716-446655440000/description/information/international", "a/b/c/d/e/f/g/h/i/j/k/l/m", "internationalization", "x" * 500, "=" * 40):
+        assert not find(name), name
+
+
 def test_licenses_equal_brute_force(docs):
     rules = [(r, re.compile(r.pattern, re.A)) for r in licenses.rules()]
     lower = str.maketrans(licenses.UPPER, licenses.LOWER)
