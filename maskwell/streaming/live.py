@@ -7,20 +7,24 @@ numbering of a session, and answers that are still arriving.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from maskwell.operators import chatlogs, mask, policy
-from maskwell.operators.detect import detect_spans, drop_excluded, explode_spans
+from maskwell.operators.detect import detect_spans, drop_excluded
 
 QUIET_MS = 500
 MAP_TTL_HOURS = 24
 ANSWER_TIMEOUT_MS = 30_000
+#: How long a document may be silent before its version number is forgotten.
+VERSION_MEMORY_MS = 24 * 3600 * 1000
+#: Stands for a missing version and is older than any.
+NO_VERSION = -(2**63)
+PROVIDER_CLASS = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -43,42 +47,96 @@ def scan_stream(messages: DataFrame, **options) -> DataFrame:
     return drop_excluded(detect_spans(messages, **options))
 
 
-def latest_versions(drafts: DataFrame, quiet_ms: int = QUIET_MS) -> DataFrame:
-    """The newest text of each document once it has been left alone for a moment.
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for operators that need the RocksDB state store; nothing of the caller's changes.
 
-    ``drafts`` has ``doc_id``, ``version`` and ``text``. Older versions that arrive late
-    are dropped. Within a batch only the newest row of a document is shuffled on.
+    Settings made at run time are taken over, which a new session does not do by itself.
     """
-    newest = drafts.select(
-        F.col("doc_id").cast("string"), F.col("version").cast("long"), "text"
-    )
+    own = spark.newSession()
+    for name, value in dict(spark.conf.getAll).items():
+        if own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set(PROVIDER_CLASS, ROCKSDB)
+    return own
+
+
+def latest_versions(
+    drafts: DataFrame, quiet_ms: int = QUIET_MS, remember_ms: int = VERSION_MEMORY_MS, late: str | None = None
+) -> DataFrame:
+    """The newest text of each document once it has been left alone for a moment. Needs the RocksDB state store.
+
+    ``drafts`` has ``doc_id``, ``version`` and ``text``. A document is given out ``quiet_ms`` after its newest
+    version, and again whenever a newer one has come to rest. Versions never go back: the number of the newest one
+    outlives its text, so an older draft that arrives after the text was given out is dropped, until the document has
+    been silent for ``remember_ms``. Equal versions: the greatest text of a batch, and the first batch, count.
+
+    With ``late`` time is that of the column ``ts`` and moves with its watermark, that much behind; without it time is
+    the clock's. Rows without a version are ignored, rows without an id only move the watermark, and a draft without a
+    time is as old as can be.
+    """
+    by_event = late is not None
+    kind = dict(drafts.dtypes)["doc_id"]
+    rows = drafts.withWatermark("ts", late) if by_event else drafts
+    at = F.coalesce(F.unix_millis("ts"), F.lit(0)) if by_event else F.lit(0).cast("long")
+    rows = rows.select(
+        "doc_id", F.coalesce(F.col("version").cast("long"), F.lit(NO_VERSION)).alias("version"), "text",
+        at.alias("at"), *(["ts"] if by_event else []),
+    )
+
+    class Newest(StatefulProcessor):
+        """``waiting`` is the text to give out; ``seen`` the newest version, which stays when the text has gone."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.waiting = handle.getValueState("waiting", "version long, text string, due long")
+            # State can expire by itself only on the clock; by event time a timer does the same.
+            self.seen = handle.getValueState("seen", "version long, forget long", None if by_event else remember_ms)
 
-    def keep(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            version, text = state.get
-            state.remove()
-            yield pd.DataFrame({"doc_id": [key[0]], "version": [version], "text": [text]})
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            newest = None
+            for batch in rows:
+                for version, text, at in zip(batch["version"], batch["text"], batch["at"]):
+                    row = (int(version), text is not None, text or "", int(at))
+                    newest = row if newest is None or row > newest else newest
+            if newest is None or pd.isna(key[0]) or newest[0] == NO_VERSION:
+                return
+            seen = self.seen.get() if self.seen.exists() else None
+            if seen is not None and newest[0] <= seen[0]:
+                return
+            now = newest[3] if by_event else timerValues.getCurrentProcessingTimeInMs()
+            if self.waiting.exists():
+                self.handle.deleteTimer(self.waiting.get()[2])
+            if by_event:
+                if seen is not None:
+                    self.handle.deleteTimer(seen[1])
+                self.handle.registerTimer(now + quiet_ms + remember_ms)
+            self.handle.registerTimer(now + quiet_ms)
+            self.waiting.update((newest[0], newest[2] if newest[1] else None, now + quiet_ms))
+            self.seen.update((newest[0], now + quiet_ms + remember_ms))
             return
-        best = state.get if state.exists else (-1, "")
-        changed = False
-        for batch in batches:
-            row = batch.loc[batch["version"].idxmax()]
-            if int(row["version"]) > best[0]:
-                best, changed = (int(row["version"]), row["text"]), True
-        if changed or not state.exists:
-            state.update(best)
-        state.setTimeoutDuration(quiet_ms)
-
-    return newest.groupBy("doc_id").applyInPandasWithState(
-        keep,
-        "doc_id string, version long, text string",
-        "version long, text string",
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+            yield
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            now = expiredTimerInfo.getExpiryTimeInMs()
+            if self.waiting.exists() and self.waiting.get()[2] <= now:
+                version, text, _ = self.waiting.get()
+                self.waiting.clear()
+                yield pd.DataFrame({"doc_id": [key[0]], "version": [version], "text": [text]})
+            if by_event and self.seen.exists() and self.seen.get()[1] <= now:
+                self.seen.clear()
+
+        def close(self) -> None:
+            pass
+
+    return rows.groupBy("doc_id").transformWithStateInPandas(
+        statefulProcessor=Newest(),
+        outputStructType=f"doc_id {kind}, version long, text string",
+        outputMode="append",
+        timeMode="eventTime" if by_event else "processingTime",
     )
 
 
-def session_numbers(spans: DataFrame, ttl_hours: int | None = MAP_TTL_HOURS) -> DataFrame:
+def session_numbers(spans: DataFrame, ttl_hours: float | None = MAP_TTL_HOURS) -> DataFrame:
     """New placeholders as they appear. Needs the RocksDB state store.
 
     ``spans`` is in row form with session, turn, start, type and value. Numbers follow
@@ -91,7 +149,7 @@ def session_numbers(spans: DataFrame, ttl_hours: int | None = MAP_TTL_HOURS) ->
         """Numbers of the values of one session and label, forgotten after a day."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            life = ttl_hours * 3600 * 1000 if ttl_hours else None
+            life = int(ttl_hours * 3600 * 1000) if ttl_hours else None
             self.known = handle.getMapState("known", "value string", "n int", life)
             self.last = handle.getValueState("last", "n int", life)
 
@@ -139,81 +197,138 @@ def daily_counts(messages: DataFrame, late: str = "1 day") -> DataFrame:
     )
 
 
-def assemble_stream(events: DataFrame, timeout_ms: int | None = ANSWER_TIMEOUT_MS) -> DataFrame:
-    """Answers put together as their events arrive, given out at the end marker or timeout.
+def assemble_stream(events: DataFrame, timeout_ms: int = ANSWER_TIMEOUT_MS, late: str | None = None) -> DataFrame:
+    """Answers put together as their events arrive, given out at the end marker or timeout. Needs RocksDB.
 
-    Without a timeout, answers that never end stay in the state.
+    Pieces are kept as rows of the state and joined by ``seq`` when an answer is given out. An answer is complete if
+    its end marker came. A closed answer is remembered until the timeout, so stragglers are ignored; then nothing of
+    it is left. Time is the clock's, or with ``late`` that of the column ``ts``. Rows without an id only move the
+    watermark.
     """
-    judged = chatlogs.is_stream_complete(chatlogs.extract_response_delta(events)).select(
-        F.col("response_id").cast("string"), "provider", "seq", "delta", "complete"
-    )
+    by_event = late is not None
+    judged = chatlogs.is_stream_complete(chatlogs.extract_response_delta(events))
+    judged = judged.withWatermark("ts", late) if by_event else judged
+    at = F.coalesce(F.unix_millis("ts"), F.lit(0)) if by_event else F.lit(0).cast("long")
+    judged = judged.select(
+        F.col("response_id").cast("string"), "provider", F.col("seq").cast("long").alias("seq"), "delta", "complete",
+        at.alias("at"), *(["ts"] if by_event else []),
+    )
+
+    class Answer(StatefulProcessor):
+        """The pieces of one answer, and until when it is remembered."""
 
-    def collect(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, closed = state.get if state.exists else ("", False)
-        if state.hasTimedOut:
-            state.remove()
-            if text and not closed:
-                yield pd.DataFrame(
-                    {"response_id": [key[0]], "provider": [key[1]], "text": [text], "complete": [False]}
-                )
-            return
-        if not closed:
-            rows = pd.concat(list(batches)).sort_values("seq")
-            ends = rows.loc[rows["complete"], "seq"]
-            if len(ends):
-                rows = rows.loc[rows["seq"] <= ends.iloc[0]]
-            text += "".join(rows["delta"].dropna())
-            closed = bool(len(ends))
-            if closed and text:
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.parts = handle.getListState("parts", "seq long, delta string")
+            self.ends = handle.getValueState("ends", "closed boolean, due long")
+
+        def given_out(self, key, parts: list[tuple], complete: bool) -> Iterator[pd.DataFrame]:
+            text = "".join(delta for _, delta in sorted(parts))
+            if text:
                 yield pd.DataFrame(
-                    {"response_id": [key[0]], "provider": [key[1]], "text": [text], "complete": [True]}
+                    {"response_id": [key[0]], "provider": [key[1]], "text": [text], "complete": [complete]}
                 )
-        # A closed answer is remembered until the timeout so that stragglers are ignored.
-        state.update(("" if closed else text, closed))
-        if timeout_ms is not None:
-            state.setTimeoutDuration(timeout_ms)
-
-    patience = (
-        GroupStateTimeout.NoTimeout
-        if timeout_ms is None
-        else GroupStateTimeout.ProcessingTimeTimeout
-    )
-    return judged.groupBy("response_id", "provider").applyInPandasWithState(
-        collect,
-        "response_id string, provider string, text string, complete boolean",
-        "text string, closed boolean",
-        "append",
-        patience,
-    )
 
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            closed, due = self.ends.get() if self.ends.exists() else (False, None)
+            new, end, latest = [], None, 0
+            for batch in rows:
+                for seq, delta, complete, at in zip(batch["seq"], batch["delta"], batch["complete"], batch["at"]):
+                    latest = max(latest, int(at))
+                    if complete and (end is None or seq < end):
+                        end = int(seq)
+                    if isinstance(delta, str):
+                        new.append((int(seq), delta))
+            if pd.isna(key[0]):
+                return
+            if not closed:
+                now = latest if by_event else timerValues.getCurrentProcessingTimeInMs()
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                due = max(now + timeout_ms, due or 0)
+                self.handle.registerTimer(due)
+                if end is None:
+                    if new:
+                        self.parts.appendList(new)
+                else:
+                    parts = [*self.parts.get(), *new] if self.parts.exists() else new
+                    self.parts.clear()
+                    yield from self.given_out(key, [p for p in parts if p[0] <= end], True)
+                self.ends.update((end is not None, due))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if self.ends.exists() and self.ends.get()[1] <= expiredTimerInfo.getExpiryTimeInMs():
+                if not self.ends.get()[0] and self.parts.exists():
+                    yield from self.given_out(key, list(self.parts.get()), False)
+                self.parts.clear()
+                self.ends.clear()
+
+        def close(self) -> None:
+            pass
 
-def audit_stream(decided: DataFrame, path: str, checkpoint: str):
-    """Start appending audit rows to a folder."""
-    rows = policy.valid_audit(policy.audit_rows(decided))
-    return (
-        rows.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .start()
+    return judged.groupBy("response_id", "provider").transformWithStateInPandas(
+        statefulProcessor=Answer(),
+        outputStructType="response_id string, provider string, text string, complete boolean",
+        outputMode="append",
+        timeMode="eventTime" if by_event else "processingTime",
     )
 
 
-def span_rows_stream(messages: DataFrame, *keep: str) -> DataFrame:
-    return explode_spans(messages, "spans", *keep)
+def audit_stream(decided: DataFrame) -> DataFrame:
+    """Audit rows of decided messages, as they come."""
+    return policy.valid_audit(policy.audit_rows(decided))
 
 
 def run_once(df: DataFrame, name: str) -> DataFrame:
     """Process what is there, write it as a table below the checkpoint folder and read it."""
-    spark = df.sparkSession
-    base = checkpoint_dir(spark, name)
-    query = (
-        df.writeStream.format("parquet")
-        .option("path", f"{base}/rows")
-        .option("checkpointLocation", f"{base}/state")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/rows")
+    return Run(df.sparkSession, name).more(df).rows()
+
+
+class Run:
+    """A stream that is started again whenever there is more to read, with one checkpoint and one result table."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.base = spark, checkpoint_dir(spark, name)
+        self.schema = None
+        self.progress: list = []
+
+    def more(self, df: DataFrame) -> Run:
+        """Process what has come since the last time."""
+        self.schema = df.schema
+        query = (
+            df.writeStream.format("parquet")
+            .option("path", f"{self.base}/rows")
+            .option("checkpointLocation", f"{self.base}/state")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        self.progress += query.recentProgress
+        return self
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.base}/rows")
+
+    def state_rows(self) -> int:
+        """Rows in the state after the last batch."""
+        return sum(operator["numRowsTotal"] for operator in self.progress[-1]["stateOperators"])
+
+
+def in_waves(
+    spark: SparkSession, name: str, waves: list[DataFrame], stream: Callable[[DataFrame], DataFrame], by_event: bool = True
+) -> Run:
+    """Let tables arrive one after the other, each in a run of its own, so that state and watermarks carry over.
+
+    ``stream`` makes the result of the streaming table. The runs use a session with the RocksDB state store. On the
+    clock an operator asks for batches without data for ever, so only event time gets them.
+    """
+    own = stateful_session(spark)
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(by_event).lower())
+    folder = checkpoint_dir(spark, f"{name}-in")
+    run = Run(own, name)
+    for wave in waves:
+        wave.write.mode("append").parquet(folder)
+        run.more(stream(own.readStream.schema(waves[0].schema).parquet(folder)))
+    run.spark = spark
+    return run

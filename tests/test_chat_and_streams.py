@@ -1,4 +1,5 @@
 import time
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -89,22 +90,110 @@ def test_nearest_rank_is_exact(spark):
             assert stats.nearest_rank(df, "x", p).first()[0] == want
 
 
-def test_newest_version_wins(spark, tmp_path):
+DRAFT = "doc_id string, version long, text string, ts timestamp"
+
+
+def drafts(spark, *rows):
+    return spark.createDataFrame([(i, v, t, datetime(2024, 1, 1, 0, minute)) for i, v, t, minute in rows], DRAFT)
+
+
+def versions(run):
+    return sorted(tuple(r) for r in run.rows().collect())
+
+
+def test_newest_version_wins(spark):
+    waves = [
+        drafts(spark, ("a", 1, "old", 0), ("a", 3, "new", 1), ("a", 2, "mid", 2), ("b", 1, "only", 0), ("b", None, "none", 5)),
+        drafts(spark, ("a", 2, "mid again", 9), (None, None, None, 10)),
+        # The text of a and b has been given out by now.
+        drafts(spark, ("a", 2, "late", 20), ("b", 1, "same", 20), ("b", 2, None, 20), ("c", 5, "x", 20), ("c", 5, "y", 20)),
+        drafts(spark, (None, 9, "clock", 30)),
+        drafts(spark, ("a", 4, "newer", 31), (None, None, None, 40)),
+        drafts(spark, ("a", 3, "older", 41), (None, None, None, 50)),
+    ]
+    run = live.in_waves(spark, "t", waves, lambda s: live.latest_versions(s, 60_000, late="0 seconds"))
+    assert versions(run) == [("a", 3, "new"), ("a", 4, "newer"), ("b", 1, "only"), ("b", 2, None), ("c", 5, "y")]
+
+
+def test_versions_are_forgotten_after_long_silence(spark):
+    waves = [
+        drafts(spark, ("a", 3, "new", 0)),
+        drafts(spark, (None, None, None, 30)),
+        drafts(spark, ("a", 1, "again", 31)),
+        drafts(spark, (None, None, None, 59)),
+    ]
+    run = live.in_waves(spark, "t", waves, lambda s: live.latest_versions(s, 1000, 60_000, late="0 seconds"))
+    assert versions(run) == [("a", 1, "again"), ("a", 3, "new")] and run.state_rows() == 0
+
+
+def test_newest_version_on_the_clock(spark, tmp_path):
     schema = "doc_id string, version long, text string"
     spark.createDataFrame([("a", 1, "old"), ("a", 3, "new"), ("a", 2, "mid"), ("b", 1, "only")], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    drafts = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    own = live.stateful_session(spark)
     query = (
-        live.latest_versions(drafts, 100).writeStream.format("memory").queryName("drafts_out")
+        live.latest_versions(own.readStream.schema(schema).parquet(str(tmp_path / "in")), 100)
+        .writeStream.format("parquet").option("path", str(tmp_path / "out"))
         .option("checkpointLocation", str(tmp_path / "cp")).start()
     )
+    rows = set()
     try:
         for _ in range(60):
             time.sleep(0.5)
-            if spark.table("drafts_out").count() >= 2:
+            if list(tmp_path.glob("out/*.parquet")):
+                rows = {(r.doc_id, r.text) for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()}
+            if len(rows) >= 2:
                 break
     finally:
         query.stop()
-    assert {(r.doc_id, r.text) for r in spark.table("drafts_out").collect()} == {("a", "new"), ("b", "only")}
+    assert rows == {("a", "new"), ("b", "only")}
+
+
+EVENT = "response_id string, provider string, seq int, event string, data string, ts timestamp"
+
+
+def test_answers_on_a_stream(spark):
+    def pieces(*rows):
+        return spark.createDataFrame(
+            [(i, "GROK", seq, None, "[DONE]" if t is None else '{"token":"%s"}' % t, datetime(2024, 1, 1, 0, m)) for i, seq, t, m in rows], EVENT
+        )
+
+    waves = [
+        pieces(("a", 1, "B", 0), ("a", 0, "A", 0), ("b", 0, "lost ", 0)),
+        pieces(("a", 3, None, 1), ("a", 2, "C", 1), ("a", 4, "late", 1), ("b", 1, "end", 1), ("c", 0, None, 1)),
+        pieces(("a", 5, "later", 2)),
+        pieces((None, 0, "clock", 30)),
+        pieces((None, 0, "clock", 31)),
+    ]
+    run = live.in_waves(spark, "t", waves, lambda s: live.assemble_stream(s, 120_000, late="0 seconds"))
+    got = sorted((r.response_id, r.text, r.complete) for r in run.rows().collect())
+    assert got == [("a", "ABC", True), ("b", "lost end", False)] and run.state_rows() == 0
+
+
+def test_late_messages_miss_their_day(spark):
+    text = "my ssn is 234-56-7890"
+    rows = [[(text, "2024-01-05")], [(text, "2024-01-01"), (text, "2024-01-05")], [(text, "2024-02-01")]]
+    waves = [spark.createDataFrame(w, "text string, ts string") for w in rows]
+    run = live.in_waves(spark, "t", waves, lambda s: live.daily_counts(live.scan_stream(s, types=["SSN"])))
+    assert [(str(r.date), r.type, r.n) for r in run.rows().collect()] == [("2024-01-05", "SSN", 2)]
+    assert run.state_rows() == 1
+
+
+def test_session_numbers_expire(spark):
+    def found(*values):
+        rows = [("s", i, 0, "SSN", v) for i, v in enumerate(values)]
+        return spark.createDataFrame(rows, "session_id string, turn int, start int, type string, value string")
+
+    waves = [found("x", "y"), found("y", "z")]
+    for hours, want in ((24, {"x": {1}, "y": {2}, "z": {3}}), (0.0001, {"x": {1}, "y": {1, 2}, "z": {2}})):
+
+        def numbered(stream, hours=hours):
+            time.sleep(2)
+            return live.session_numbers(stream, hours)
+
+        got = {}
+        for r in live.in_waves(spark, "t", waves, numbered, by_event=False).rows().collect():
+            got.setdefault(r.value, set()).add(r.n)
+        assert got == want
 
 
 def test_sql_functions(spark):
