@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwell.functions.jsonpath import at_field, decoded, spliced, string_fields
 from maskwell.functions.sqltext import all_of, any_of, let, quote
 from maskwell.operators.detect import once
 
@@ -354,19 +355,125 @@ def json_escaped(column: str) -> str:
     )
 
 
-def _swap(where: str, old: str, new: str, last: bool = False) -> str:
-    """Replace one occurrence by position; NULL when there is none."""
-    at = f"locate({old}, {where})"
+def _where(test: str, path: str) -> str:
+    """A path that holds when a text is there."""
+    return f"if({test} IS NOT NULL, {path}, NULL)"
+
+
+def _at(v: str, path: str) -> str:
+    """A fixed path, when there is a text: ``$.a[0].b`` as ``/a[0]/b``."""
+    return _where(_text(v, path), quote(path[1:].replace(".", "/")))
+
+
+def _index(items: str, test: str, last: bool = False) -> str:
+    """Position of the first or last item ``m`` that passes; NULL when none does."""
     if last:
-        back = f"locate(reverse({old}), reverse({where}))"
-        at = f"if({back} > 0, length({where}) - {back} - length({old}) + 2, 0)"
+        return f"array_max(transform({items}, (m, i) -> if(coalesce({test}, false), i, NULL)))"
+    return f"array_min(transform({items}, (m, i) -> if(coalesce({test}, false), i, NULL)))"
+
+
+def _last_user(v: str) -> str:
+    at = _index(_items(v, "$.messages"), f"{_string('m', '$.role')} = 'user' AND {_text('m', '$.content')} IS NOT NULL", True)
+    return f"concat('/messages[', {at}, ']/content')"
+
+
+def _part_place(parts: str, prefix: str, inner: str, plain: str) -> str:
+    """Place of the first part with a text, in its field ``text`` or as it is."""
     return let(
-        "at",
-        at,
-        f"if(at > 0, concat(left({where}, at - 1), {new}, substr({where}, at + length({old}))), NULL)",
+        "parts",
+        parts,
+        let(
+            "j",
+            _index("parts", f"coalesce({inner}, {plain}) IS NOT NULL"),
+            f"if(j IS NULL, NULL, concat({prefix}, '[', j, ']', "
+            + let("m", "get(parts, j)", f"if({plain} IS NULL, '/text', '')")
+            + "))",
+        ),
     )
 
 
+def _gemini_steps(v: str, nested: bool = True) -> str:
+    """Paths to the message: one, or one for each JSON text inside a string on the way."""
+
+    def void(path: str) -> str:
+        return _is(f"try_variant_get({v}, {quote(path)}, 'variant')", "VOID")
+
+    def place(path: str) -> str:
+        return f"if({_plausible(_text(v, path))} IS NOT NULL, array({quote(path[1:])}), NULL)"
+
+    size, args = f"size({_items(v, '$')})", f"try_parse_json({_text(v, '$[1]')})"
+    deep = f"size({_items(v, '$[0]')}) >= 3 AND {void('$[0][0]')} AND {void('$[0][1]')}"
+    options = [
+        f"if({deep}, coalesce({place('$[0][2][0][0]')}, {place('$[0][2][0]')}), NULL)",
+        f"if({size} >= 3 AND {void('$[0]')} AND {void('$[1]')}, coalesce({place('$[2][0][0]')}, {place('$[2][0]')}), NULL)",
+        f"if({size} = 2 AND {void('$[0]')} AND {_plausible(_text(args, '$[0][0]'))} IS NOT NULL, array('[1]', '[0][0]'), NULL)",
+    ]
+    if nested:
+        inner = let("e", f"try_parse_json({_text('m', '$[1]')})", _gemini_steps("e", False))
+        steps = f"if({_string('m', '$[0]')} IS NOT NULL, concat(array(concat('[0][', i, '][1]')), {inner}), NULL)"
+        options.append(f"try_element_at(filter(transform({_items(v, '$[0]')}, (m, i) -> {steps}), t -> t IS NOT NULL), 1)")
+    return f"coalesce({', '.join(options)})"
+
+
+def _deep(prefix: str) -> str:
+    """Fields that a search for message keys to depth five can find."""
+    return f"path RLIKE {quote('^' + prefix + r'(?:/[^/\[]*|\[[0-9]+\]){0,4}/(?:' + '|'.join(META_KEYS) + ')$')}"
+
+
+def _found_first(fields: str, skip: int, keys: tuple[str, ...]) -> str:
+    """The path that the search meets first: an object's own keys in their order, then its children by name."""
+    order = f"array_position(array({', '.join(quote(k) for k in keys)}), element_at(f.way, -1))"
+    rank = (
+        f"concat(transform(slice(f.way, {skip + 1}, size(f.way) - {skip + 1}), w -> concat('1', w)), "
+        f"array(concat('0', {order})))"
+    )
+    ranked = f"transform(filter({fields}, f -> f.size > 2), f -> named_struct('rank', {rank}, 'path', f.path))"
+    return f"array_min({ranked}).path"
+
+
+#: Where else a request of the provider may carry the message it sends; the last user message is another such place.
+MESSAGE_FIELDS = {
+    "CLAUDE": r"^/(?:completion/prompt|text|prompt)$",
+    "PERPLEXITY": r"^/(?:query_str|query)$",
+    "GROK": r"^/message$",
+    "COPILOT": r"^/message$",
+}
+
+
+def message_place_sql(provider: str) -> str:
+    """Path of the field in ``doc`` that the user's text is read from."""
+    v = "doc"
+    n = f"size({_items(v, '$.messages')}) - 1"
+    last = f"concat('/messages[', {n}, ']/content')"
+
+    def of_last(expression: str) -> str:
+        return let("last", _last(_items(v, "$.messages")), expression)
+
+    deepseek_text = f"if({_string('m', '$.type')} = 'text', {_text('m', '$.text')}, NULL)"
+    responses = _index(_items(v, "$.responses"), f"{_text('m', '$.message')} IS NOT NULL", True)
+    arguments = f"size({_items(v, '$.arguments[0].messages')}) - 1"
+    branches = {
+        "CHATGPT": of_last(
+            f"coalesce({_where(_text('last', '$.content'), last)}, "
+            + _part_place(_items("last", "$.content.parts"), f"concat({last}, '/parts')", _text("m", "$.text"), _text("m", "$"))
+            + ")"
+        ),
+        "CLAUDE": f"coalesce({_at(v, '$.completion.prompt')}, {_at(v, '$.text')}, {_at(v, '$.prompt')})",
+        "DEEPSEEK": of_last(
+            f"if({_string('last', '$.role')} = 'user', coalesce({_where(_text('last', '$.content'), last)}, "
+            + _part_place(_items("last", "$.content"), last, deepseek_text, _text("m", "$"))
+            + "), NULL)"
+        ),
+        "PERPLEXITY": f"coalesce({_at(v, '$.query_str')}, {_at(v, '$.query')}, {_last_user(v)})",
+        "GROK": f"coalesce(concat('/responses[', {responses}, ']/message'), {_last_user(v)}, {_at(v, '$.message')})",
+        "COPILOT": f"coalesce({_at(v, '$.message')}, {_last_user(v)}, "
+        + let("last", _last(_items(v, "$.arguments[0].messages")), _where(_text("last", "$.text"), f"concat('/arguments[0]/messages[', {arguments}, ']/text')"))
+        + ")",
+    }
+    cases = " ".join(f"WHEN '{name}' THEN {expr}" for name, expr in branches.items())
+    return f"if({_is(v, 'OBJECT')}, CASE {provider} {cases} END, NULL)"
+
+
 def _encoded(column: str) -> str:
     """Form encoding with %20 for a space, and the characters a URI component keeps."""
     out = f"replace(url_encode({column}), '+', '%20')"
@@ -375,41 +482,104 @@ def _encoded(column: str) -> str:
     return out
 
 
+def _replaced_at(json: str, steps: str, literal: str, depth: int) -> str:
+    """The text with the string at the end of ``steps`` replaced; each step but the last leads to a JSON text."""
+    fields = string_fields(json, f"path = get({steps}, 0)")
+    if depth == 1:
+        return spliced(json, fields, literal)
+    inner, rest = f"in{depth}", f"st{depth}"
+    within = let(
+        "f0",
+        f"get({fields}, 0)",
+        let(
+            inner,
+            decoded(at_field(json, "f0")),
+            let(
+                rest,
+                f"slice({steps}, 2, size({steps}) - 1)",
+                let(
+                    f"new{depth}",
+                    _replaced_at(inner, rest, literal, depth - 1),
+                    spliced(json, "array(f0)", f"concat('\"', {json_escaped(f'new{depth}')}, '\"')"),
+                ),
+            ),
+        ),
+    )
+    return f"if(size({steps}) = 1, {spliced(json, fields, literal)}, {within})"
+
+
 def scrub_payload_sql(provider: str, body: str, original: str, masked: str) -> str:
-    """The body with the user's message replaced by the masked one; NULL if not found.
+    """The body with the user's message replaced by the masked one; NULL if there is no such field.
 
-    Providers that send the whole conversation carry the user's message last, so there the
-    last string equal to it is replaced; the others get the first occurrence.
+    The field is the one that the user's text is read from, found by its place, so neither an equal text elsewhere nor
+    the way it is escaped matters; earlier messages stay. Where the request repeats the message it sends in another
+    field for it, that one is replaced too, and of the two Claude fields both.
     """
-    old, new = "x.old", "x.new"
-    whole = _swap(body, "concat('\"', x.old, '\"')", "concat('\"', x.new, '\"')", last=True)
-    plain = (
-        f"if({provider} IN ('CHATGPT', 'DEEPSEEK', 'PERPLEXITY', 'GROK', 'COPILOT'), "
-        f"{whole}, {_swap(body, old, new)})"
-    )
-    escapes = (
-        f"named_struct('old', {json_escaped(original)}, 'new', {json_escaped(masked)})"
-    )
-    form_key = f"CASE {provider} WHEN 'GEMINI' THEN 'f.req=' WHEN 'META_AI' THEN 'variables=' END"
-    raw = f"regexp_extract(substr({body}, locate(k, {body}) + length(k)), '^[^&]*', 0)"
-    inside_form = let(
-        "raw",
-        raw,
+    same = f"{decoded(at_field('b', 'f'))} = {original}"
+    shapes = " ".join(f"WHEN '{name}' THEN path RLIKE {quote(shape)}" for name, shape in MESSAGE_FIELDS.items())
+    both = f"({provider} = 'CLAUDE' AND p = '/completion/prompt' AND f.path = '/text')"
+    wanted = f"path = p OR path = u OR CASE {provider} {shapes} ELSE false END"
+    chosen = f"filter({string_fields('b', wanted)}, f -> f.path = p OR {both} OR {same})"
+    plain = let(
+        "p",
+        message_place_sql(provider),
+        let(
+            "u",
+            f"if({provider} IN ('PERPLEXITY', 'GROK', 'COPILOT'), {_last_user('doc')}, NULL)",
+            f"if(p IS NULL, NULL, {spliced('b', chosen, 'lit')})",
+        ),
+    )
+
+    def searched(json: str, wanted: str, skip: int, keys: tuple[str, ...]) -> str:
+        same_here = f"{decoded(at_field(json, 'f'))} = {original}"
+        return let(
+            "all",
+            string_fields(json, wanted),
+            let("p", _found_first("all", skip, keys), spliced(json, f"filter(all, f -> f.path = p OR {same_here})", "lit")),
+        )
+
+    gemini = let("steps", _gemini_steps("doc"), f"if(steps IS NULL, NULL, {_replaced_at('b', 'steps', 'lit', 3)})")
+    gemini_form = let("steps", _gemini_steps("form"), f"if(steps IS NULL, NULL, {_replaced_at('raw', 'steps', 'lit', 3)})")
+    in_variables = searched("b", _deep("/variables"), 1, META_KEYS)
+    top = f"coalesce({_at('doc', '$.message')}, {_at('doc', '$.text')}, {_at('doc', '$.prompt')})"
+    top_level = let("p", top, f"if(p IS NULL, NULL, {spliced('b', string_fields('b', 'path = p'), 'lit')})")
+    variables = "try_variant_get(doc, '$.variables', 'variant')"
+    meta = f"if({_is(variables, 'OBJECT')}, {in_variables}, {top_level})"
+    meta_form = searched("raw", _deep(""), 0, ("text", *META_KEYS))
+    form_key = f"CASE {provider} WHEN 'GEMINI' THEN 'f.req' WHEN 'META_AI' THEN 'variables' END"
+    value = f"if({provider} = 'GEMINI', {gemini_form}, {meta_form})"
+    inside = let(
+        "head",
+        f"if({provider} = 'GEMINI', regexp_extract(b, '(?s)^(?:.*?&)?f[.]req=', 0), regexp_extract(b, '(?s)^(?:.*?&)?variables=', 0))",
         let(
-            "swapped",
-            _swap("try_url_decode(raw)", old, new),
-            f"concat(left({body}, locate(k, {body}) + length(k) - 1), {_encoded('swapped')}, "
-            f"substr({body}, locate(k, {body}) + length(k) + length(raw)))",
+            "coded",
+            "regexp_extract(substr(b, length(head) + 1), '^[^&]*', 0)",
+            let(
+                "raw",
+                "try_url_decode(coded)",
+                let(
+                    "form",
+                    "try_parse_json(raw)",
+                    let("new", value, f"concat(head, {_encoded('new')}, substr(b, length(head) + length(coded) + 1))"),
+                ),
+            ),
         ),
     )
+    has_form = "coalesce(b RLIKE concat('(?:^|&)', replace(k, '.', '[.]'), '='), false)"
+    body_of = f"CASE {provider} WHEN 'GEMINI' THEN {gemini} WHEN 'META_AI' THEN {meta} ELSE {plain} END"
+    parsed = let("doc", "try_parse_json(b)", f"if(doc IS NULL, NULL, {body_of})")
     return let(
-        "x",
-        escapes,
+        "b",
+        body,
         let(
-            "k",
-            form_key,
-            f"CASE WHEN {original} IS NULL OR {masked} IS NULL THEN NULL "
-            f"WHEN contains({body}, k) THEN {inside_form} ELSE {plain} END",
+            "lit",
+            f"concat('\"', {json_escaped(masked)}, '\"')",
+            let(
+                "k",
+                form_key,
+                f"CASE WHEN {original} IS NULL OR {masked} IS NULL THEN NULL "
+                f"WHEN {has_form} THEN coalesce({inside}, {parsed}) ELSE {parsed} END",
+            ),
         ),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -391,6 +393,106 @@ def q_scrub_payload(spark, sf_dir):
     return chatlogs.extract_user_messages(scrubbed).select("id", "text")
 
 
+# Request bodies in several shapes each: U is the user's message, UU the same inside a JSON text inside a string, K a
+# copy of it that is no message field and stays.
+_SHAPES = {
+    "CHATGPT": (
+        '{"messages":[{"content":{"parts":["K"]}}, {"note":"K","content":{"content_type":"text", "parts":["U"]}}]}',
+        '{"note":"K","messages":[{"content":{"parts":["", {"kind":1,"text":"U"}, "after"]}}],"n":[1,{"x":null}]}',
+    ),
+    "CLAUDE": (
+        '{"note":"K","completion":{"prompt":"U","n":1},"text":"U"}',
+        '{"prompt" : "U","tools":["K"]}',
+        '{"text":"U","prompt":"U"}',
+    ),
+    "GEMINI": (
+        '[[null,null,[["U",0,"K"]]],"K"]',
+        '[[["rpc","[null,\\"[[\\\\\\"UUU\\\\\\"]]\\"]",null,"K"]]]',
+        '[[["rpc","[[null,null,[\\"UU\\"]]]","K"]]]',
+    ),
+    "DEEPSEEK": (
+        '{"messages":[{"role":"system","content":"k"},{"role":"user","content":"U"}],"note":"K"}',
+        '{"messages":[{"role":"user","content":[{"type":"image","url":"K"},{"type":"text","text":"U"}]}]}',
+    ),
+    "PERPLEXITY": (
+        '{"params":{"q":"K"},"query_str":"U","query":"U"}',
+        '{"messages":[{"role":"user","content":"first"},{"content":"U","role":"user"},{"role":"assistant","content":"r"}]}',
+    ),
+    "GROK": (
+        '{"responses":[{"message":"old"},{"message":"U","id":"K"},{"message":""}]}',
+        '{"responses":[],"messages":[{"role":"user","content":"U"}],"K":"K"}',
+        '{"message":"U","parent":{"message":"K"}}',
+    ),
+    "COPILOT": (
+        '{"message":"U","messages":[{"role":"assistant","note":"K"}]}',
+        '{"arguments":[{"messages":[{"text":"old"},{"author":"user","text":"U"}],"tone":"K"}]}',
+    ),
+    "META_AI": (
+        '{"variables":{"a":{"b":{"query":"U","other":"K"}}},"doc_id":1}',
+        '{"query":"K","text":"U"}',
+        '{"variables":{"message":"U","input":{"text":"later"}}}',
+    ),
+}
+
+
+def _quoted(text: str, depth: int) -> str:
+    """The text as it stands in JSON, inside ``depth`` strings."""
+    for _ in range(depth):
+        text = f"replace(replace(replace({text}, chr(92), concat(chr(92), chr(92))), chr(34), concat(chr(92), chr(34))), chr(10), concat(chr(92), 'n'))"
+    return text
+
+
+def _shaped_body(text: str, copy: str, odd: bool) -> str:
+    """``odd`` writes some letters of the message as escapes, which no plain search finds."""
+
+    def filled(shape: str) -> str:
+        out = "'" + shape.replace("\\", "{b}").replace("'", "''").replace("{b}", "'||chr(92)||'") + "'"
+        parts = []
+        for piece in re.split("(UUU|UU|U|K)", out):
+            if piece in ("UUU", "UU", "U"):
+                once_more = "replace(" + _quoted("said", len(piece)) + f", 'e', concat({', '.join(['chr(92)'] * (2 ** (len(piece) - 1)))}, 'u0065'))"
+                parts.append("'||" + (once_more if odd else _quoted("said", len(piece))).replace("said", text) + "||'")
+            else:
+                parts.append("'||" + _quoted(copy, 1) + "||'" if piece == "K" else piece)
+        return "".join(parts)
+
+    cases = " ".join(
+        f"WHEN {i} THEN " + pick("(conv_id // 8 + turn)", *(filled(s) for s in shapes))
+        for i, shapes in enumerate(_SHAPES[p] for p in PROVIDERS)
+    )
+    return f"CASE (conv_id + turn) % 8 {cases} END"
+
+
+_IN_FORM = "(conv_id + turn) % 8 IN (2, 7) AND turn % 2 = 0 AND (conv_id // 8 + turn) % 3 <> 1"
+
+
+def q_scrubbed_fields(spark, sf_dir):
+    """Bodies in which only the message fields change, in every shape and however the message is escaped."""
+    base = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).where("length(text) > 0")
+    bodies = base.selectExpr(
+        "conv_id * 1000 + turn AS id", "text AS said",
+        f"element_at(array({', '.join(repr(p) for p in PROVIDERS)}), CAST((conv_id + turn) % 8 + 1 AS INT)) AS provider",
+        f"{portable(_IN_FORM, 'spark')} AS in_form", f"{portable(_shaped_body('text', 'text', True), 'spark')} AS body",
+    )
+    field = F.when(F.col("provider") == "GEMINI", F.lit("f.req=")).otherwise(F.lit("variables="))
+    # Of a form's variables object only the inside is sent.
+    sent = F.concat(F.lit("at=1&"), field, F.url_encode("body"), F.lit("&z=%20"))
+    bodies = bodies.withColumn("body", F.when(F.col("in_form"), sent).otherwise(F.col("body")))
+    masked = F.concat(F.lit('[NAME_1] "'), F.col("said"), F.lit('"'))
+    scrubbed = chatlogs.scrub_payload(bodies.withColumn("masked_text", masked), original="said")
+    return scrubbed.select(
+        "id", F.when(F.col("in_form"), F.url_decode("scrubbed_body")).otherwise(F.col("scrubbed_body")).alias("body")
+    )
+
+
+def _scrubbed_sql() -> str:
+    masked = "('[NAME_1] \"' || text || '\"')"
+    field = "CASE (conv_id + turn) % 8 WHEN 2 THEN 'f.req=' ELSE 'variables=' END"
+    body = _shaped_body(masked, "text", False)
+    return f"""SELECT conv_id * 1000 + turn AS id, CASE WHEN {_IN_FORM} THEN 'at=1&' || {field} || body || '&z= ' ELSE body END AS body
+        FROM (SELECT conv_id, turn, {body} AS body FROM conversations WHERE length(text) > 0)"""
+
+
 def streams(spark, sf_dir):
     return as_streams(talk(spark, sf_dir))
 
@@ -487,6 +589,7 @@ def content_oracles() -> dict[str, str]:
         "user_messages": ids,
         "valid_payloads": f"SELECT {conv} AS id, ({conv}) % 5 <> 0 AS valid FROM conversations",
         "scrub_payload": f"SELECT {conv} AS id, '[NAME_1] ' || text || '!' AS text FROM conversations",
+        "scrubbed_fields": _scrubbed_sql(),
         "assembled_answers": f"SELECT {conv} AS response_id, regexp_replace(text, '\\s+', '_', 'g') AS text, true AS complete FROM conversations",
         "dialect_answers": f"SELECT {conv} AS response_id, regexp_replace(text, '\\s+', '_', 'g') || 'late' AS text FROM conversations WHERE (conv_id + turn) % 8 IN (0, 1)",
     }

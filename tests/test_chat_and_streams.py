@@ -39,6 +39,63 @@ def test_scrub_replaces_the_last_equal_message(spark):
     assert out == '{"messages":[{"content":{"parts":["hi"]}},{"content":{"parts":["a \\"b\\""]}}]}'
 
 
+BODY_ROWS = [
+    # Both fields of Claude, whatever they hold, and an escape that no search for the text finds.
+    ("CLAUDE", '{"completion":{"prompt":"se\\u0063ret"},"text":"other"}', "secret", '{"completion":{"prompt":"[X]"},"text":"[X]"}'),
+    ("CLAUDE", '{"a":"secret","text":"secret", "prompt":"secret"}', "secret", '{"a":"secret","text":"[X]", "prompt":"[X]"}'),
+    # A field, not the first equal string or part of one.
+    ("GEMINI", '[[null,null,[["a"]]],"a","ba"]', "a", '[[null,null,[["[X]"]]],"a","ba"]'),
+    ("META_AI", '{"x":"q","variables":{"z":{"text":"q2"},"message":"q"}}', "q", '{"x":"q","variables":{"z":{"text":"q2"},"message":"[X]"}}'),
+    ("META_AI", "doc_id=3&variables=%7B%22b%22%3A%7B%22text%22%3A%22q%22%7D%2C%22a%22%3A%22q%22%7D&xvariables=q", "q",
+     "doc_id=3&variables=%7B%22b%22%3A%7B%22text%22%3A%22%5BX%5D%22%7D%2C%22a%22%3A%22q%22%7D&xvariables=q"),
+    ("PERPLEXITY", '{"query":"q","query_str":"q","messages":[{"role":"user","content":"q"},{"role":"user","content":"q"}]}', "q",
+     '{"query":"[X]","query_str":"[X]","messages":[{"role":"user","content":"q"},{"role":"user","content":"[X]"}]}'),
+    ("CHATGPT", '{"messages":[{"content":"hi"}]}', "hi", '{"messages":[{"content":"[X]"}]}'),
+    ("DEEPSEEK", '{"messages":[{"role":"user","content":[{"type":"image","text":"t"},"t"]}]}', "t", '{"messages":[{"role":"user","content":[{"type":"image","text":"t"},"[X]"]}]}'),
+    ("GROK", '{"messages":[{"role":"user","content":"g"}],"message":"g","responses":[{"message":7}]}', "g",
+     '{"messages":[{"role":"user","content":"[X]"}],"message":"[X]","responses":[{"message":7}]}'),
+    ("COPILOT", '{"arguments":[{"messages":[{"text":"c\\/d"}]},{"text":"c/d"}]}', "c/d", '{"arguments":[{"messages":[{"text":"[X]"}]},{"text":"c/d"}]}'),
+    ("GROK", '{"other":"g"}', "g", None), ("GROK", "", "g", None), ("GROK", None, "g", None), ("GROK", '{"message":"g"}', None, None),
+]
+
+
+def test_fields_are_replaced_by_place(spark):
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(BODY_ROWS)], "id int, provider string, body string, text string")
+    got = chatlogs.scrub_payload(df.withColumn("masked_text", F.lit("[X]"))).collect()
+    assert {r.id: r.scrubbed_body for r in got} == {i: r[3] for i, r in enumerate(BODY_ROWS)}
+
+
+def test_string_fields_of_random_documents(spark):
+    import json
+    import random
+
+    from maskwell.functions.jsonpath import string_fields
+
+    rng = random.Random(3)
+
+    def value(depth):
+        kind = rng.randrange(6 if depth else 4)
+        if kind == 4:
+            return [value(depth - 1) for _ in range(rng.randrange(4))]
+        if kind == 5:
+            return {"".join(rng.choice('ab/~["\\é') for _ in range(rng.randrange(3))): value(depth - 1) for _ in range(3)}
+        return ["".join(rng.choice('xy"\\/ {}[],:é😀\n') for _ in range(rng.randrange(9))), rng.random(), None, True][kind]
+
+    def leaves(v, path):
+        if isinstance(v, str):
+            yield path, v
+        for k, item in enumerate(v) if isinstance(v, list) else v.items() if isinstance(v, dict) else ():
+            step = f"[{k}]" if isinstance(v, list) else "/" + k.replace("~", "~0").replace("/", "~1").replace("[", "~2")
+            yield from leaves(item, path + step)
+
+    docs = [value(4) for _ in range(300)] + ["z" * 300_000, "\\" * 100_000]
+    texts = [json.dumps(d, ensure_ascii=i % 2 == 0, indent=i % 3 or None) for i, d in enumerate(docs)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, j string").select("id", F.expr(string_fields("j", "true")).alias("f"))
+    for r in rows.collect():
+        found = [(x.path, json.loads(texts[r.id][x.start : x.start + x.size])) for x in r.f]
+        assert found == list(leaves(docs[r.id], ""))
+
+
 def test_long_answers_are_joined_in_order(spark):
     rows = [("r", "GROK", i, None, '{"token":"%d,"}' % i) for i in range(50)] + [("r", "GROK", 50, None, "[DONE]"), ("r", "GROK", 51, None, '{"token":"late"}')]
     events = spark.createDataFrame(rows, "response_id string, provider string, seq int, event string, data string")
