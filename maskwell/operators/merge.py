@@ -1,14 +1,19 @@
 """Merging pattern spans with spans of a named-entity model.
 
 Three rules exist side by side: voting on equal spans, exact-span merge, and two overlap
-merges. The equal-span rules are joins when spans are rows. The overlap merges are folds
-over the two arrays of one document, whose size is bounded by the document's text.
+merges. The equal-span rules are joins when spans are rows. The overlap merges depend on
+what was taken before, so they sweep over the two sorted arrays of one document.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from maskwell.functions.scan import SPANS
 from maskwell.functions.scoring import calibrated
@@ -103,71 +108,89 @@ def calibrate(df: DataFrame, confidence: str = "confidence", type_: str = "type"
     return df.withColumn(confidence, F.expr(calibrated(confidence, type_)))
 
 
+Span = dict
+#: What a sweep keeps of equal spans found by two sources.
+BOTH = "both"
+
+
+def _swept(df: DataFrame, regex: str, ner: str, out: str, merged: Callable[[list[Span], list[Span]], list[Span]]) -> DataFrame:
+    """Add ``out``: one document's two arrays, and only those, visit a Python worker."""
+
+    def run(first: pa.Array, second: pa.Array) -> pa.Array:
+        pairs = zip(first.to_pylist(), second.to_pylist(), strict=True)
+        return pa.array([merged(a or [], b or []) for a, b in pairs], arrow_type)
+
+    arrow_type = to_arrow_type(df.select(F.lit(None).cast(SPANS)).schema[0].dataType)
+    swept = F.arrow_udf(run, SPANS)
+    return df.withColumn(out, swept(F.col(regex).cast(SPANS), F.col(ner).cast(SPANS)))
+
+
+def take_best(regex: list[Span], ner: list[Span]) -> list[Span]:
+    """Pattern spans in order of place, each with the surest model span that it overlaps and none before it took.
+
+    Model spans enter a heap when the sweep reaches them and leave it when it has passed them, so each is looked at
+    once and not once for every pattern span. Equal confidences: the earlier in the array. What nobody took follows.
+    """
+    order = sorted(range(len(ner)), key=lambda i: ner[i]["start"])
+    heap: list[tuple[float, int]] = []
+    taken, out, entered = set(), [], 0
+    for span in sorted(regex, key=lambda s: s["start"]):
+        while entered < len(order) and ner[order[entered]]["start"] < span["end"]:
+            heapq.heappush(heap, (-ner[order[entered]]["confidence"], order[entered]))
+            entered += 1
+        ahead, best = [], None
+        while heap and best is None:
+            first = heapq.heappop(heap)
+            if ner[first[1]]["start"] >= span["end"]:
+                ahead.append(first)
+            elif ner[first[1]]["end"] > span["start"]:
+                best = first[1]
+        for later in ahead:
+            heapq.heappush(heap, later)
+        if best is not None:
+            taken.add(best)
+            span = span | {"confidence": max(span["confidence"], ner[best]["confidence"]), "source": BOTH}
+        out.append(span)
+    return out + [span for i, span in enumerate(ner) if i not in taken]
+
+
+def keep_surest(regex: list[Span], ner: list[Span]) -> list[Span]:
+    """Spans by start, then confidence; each is compared with the last kept one that it overlaps.
+
+    The look back ends at the first kept span that lies wholly before, which is nearly always the last.
+    """
+    if not regex or not ner:
+        return regex or ner
+    kept: list[Span] = []
+    for span in sorted(regex + ner, key=lambda s: (s["start"], -s["confidence"])):
+        at = len(kept) - 1
+        while at >= 0 and kept[at]["end"] > span["start"] and kept[at]["start"] >= span["end"]:
+            at -= 1
+        if at < 0 or kept[at]["end"] <= span["start"]:
+            kept.append(span)
+            continue
+        old = kept[at]
+        same = (old["start"], old["end"]) == (span["start"], span["end"]) and old["source"] != span["source"]
+        surer = span if span["confidence"] > old["confidence"] else old
+        kept[at] = surer | {"source": BOTH} if same else surer
+    return kept
+
+
 def merge_overlap(df: DataFrame, regex: str = "spans", ner: str = "ner_spans", out: str = "merged") -> DataFrame:
     """Every pattern span takes the most confident unused model span it overlaps.
 
     The pattern span keeps its type and place and the higher confidence. Model spans left
-    over are added, and remaining overlaps are resolved.
+    over are added, and remaining overlaps are resolved. A missing array is an empty one.
     """
-    best = (
-        "array_max(transform(filter(acc.free, n -> s.start < n.end AND n.start < s.end), "
-        "n -> named_struct('c', n.confidence, 'o', -n.pos, 'n', n))).n"
-    )
-    step = let(
-        "hit",
-        best,
-        "if(hit IS NULL, "
-        "named_struct('free', acc.free, 'out', concat(acc.out, array(s))), "
-        "named_struct('free', filter(acc.free, n -> n.pos <> hit.pos), "
-        "'out', concat(acc.out, array(named_struct('type', s.type, 'value', s.value, "
-        "'start', s.start, 'end', s.end, "
-        "'confidence', greatest(s.confidence, hit.confidence), 'source', 'both')))))",
-    )
-    numbered = (
-        f"transform({ner}, (n, i) -> named_struct('pos', i, 'start', n.start, 'end', n.end, "
-        "'confidence', n.confidence))"
-    )
-    rest = f"transform(acc.free, n -> get({ner}, n.pos))"
-    fold = (
-        f"aggregate({regex}, named_struct('free', {numbered}, "
-        f"'out', CAST(array() AS {SPANS})), (acc, s) -> {step}, "
-        f"acc -> concat(acc.out, {rest}))"
-    )
-    return resolve_overlaps(once(df, out, F.expr(fold)), out)
+    return resolve_overlaps(_swept(df, regex, ner, out, take_best), out)
 
 
 def merge_best(df: DataFrame, regex: str = "spans", ner: str = "ner_spans", out: str = "merged") -> DataFrame:
     """Of overlapping spans the most confident stays; equal spans of two sources are 'both'.
 
-    Spans are taken by start, then by confidence. Each is compared with the last kept span
-    it overlaps, looking back until a kept span ends before it.
+    Where only one side has spans they pass as they are. A missing array is an empty one.
     """
-    ordered = (
-        f"transform(sort_array(transform(concat({regex}, {ner}), (s, i) -> named_struct("
-        "'p', s.start, 'r', -s.confidence, 'i', i, 's', s))), k -> k.s)"
-    )
-    # Kept spans are examined from the end; the search stops at the first that is clear.
-    clear = "array_max(transform(kept, (k, i) -> if(k.end <= s.start, i, -1)))"
-    found = (
-        "array_max(transform(kept, (k, i) -> if(k.start < s.end AND k.end > s.start, i, -1)))"
-    )
-    replaced = (
-        "transform(kept, (k, i) -> CASE WHEN i <> at.hit THEN k "
-        "WHEN s.confidence > k.confidence THEN named_struct('type', s.type, 'value', s.value, "
-        "'start', s.start, 'end', s.end, 'confidence', s.confidence, 'source', "
-        "if(k.start = s.start AND k.end = s.end AND k.source <> s.source, 'both', s.source)) "
-        "WHEN k.start = s.start AND k.end = s.end AND k.source <> s.source THEN "
-        "named_struct('type', k.type, 'value', k.value, 'start', k.start, 'end', k.end, "
-        "'confidence', k.confidence, 'source', 'both') ELSE k END)"
-    )
-    step = let(
-        "at",
-        f"named_struct('clear', coalesce({clear}, -1), 'hit', coalesce({found}, -1))",
-        f"if(at.hit < 0 OR at.hit < at.clear, concat(kept, array(s)), {replaced})",
-    )
-    fold = f"aggregate({ordered}, CAST(array() AS {SPANS}), (kept, s) -> {step})"
-    merged = f"if(size({ner}) = 0, {regex}, if(size({regex}) = 0, {ner}, {fold}))"
-    return once(df, out, F.expr(merged))
+    return _swept(df, regex, ner, out, keep_surest)
 
 
 def vote_arrays(df: DataFrame, regex: str = "spans", ner: str = "ner_spans", out: str = "merged") -> DataFrame:

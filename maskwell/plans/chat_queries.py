@@ -536,6 +536,75 @@ def _bucket_sql(column: str, edges) -> str:
     return f"CASE {' '.join(parts)} ELSE '>={edges[-1]}' END"
 
 
+_SPAN_SQL = 'struct_pack(type := type, "start" := start, "end" := "end", confidence := confidence, source := source)'
+_SPAN_KIND = 'STRUCT(type VARCHAR, "start" INTEGER, "end" INTEGER, confidence DOUBLE, source VARCHAR)'
+_BOTH_SIDES = f"""regex_side AS (SELECT doc_id, 0 AS side, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS pos, {_SPAN_SQL} AS s FROM sp0),
+model_side AS (SELECT doc_id, 1 AS side, row_number() OVER (PARTITION BY doc_id ORDER BY start, type, value, "end", confidence) AS pos, {_SPAN_SQL} AS s FROM model0)"""
+_SIDES_FROM = f"""sp0 AS (SELECT doc_id, type, value, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", confidence, 'regex' AS source FROM sp),
+model0 AS (SELECT doc_id, type, value, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", CAST(confidence AS DOUBLE) AS confidence, 'ner' AS source FROM model),
+{_BOTH_SIDES}"""
+
+
+def _with(span: str, confidence: str, source: str) -> str:
+    fields = "".join(f'"{f}" := {span}."{f}", ' for f in ("type", "start", "end"))
+    return f"struct_pack({fields}confidence := {confidence}, source := {source})"
+
+
+def _last_index(test: str) -> str:
+    return f"coalesce(list_max(list_transform(range(1, len(kept) + 1), lambda i: CASE WHEN {test} THEN i ELSE 0 END)), 0)"
+
+
+def _put(at: str, value: str) -> str:
+    return f"list_concat(kept[1:{at} - 1], [{value}], kept[{at} + 1:])"
+
+
+def _best_sql() -> str:
+    """Span by span, with everything kept so far in a list."""
+    hit, clear = _last_index("kept[i].start < s.\"end\" AND kept[i].\"end\" > s.start"), _last_index("kept[i].\"end\" <= s.start")
+    same = "kept[hit].start = s.start AND kept[hit].\"end\" = s.\"end\" AND kept[hit].source <> s.source"
+    better = f"CASE WHEN {same} THEN {_with('s', 's.confidence', repr('both'))} ELSE s END"
+    other = f"CASE WHEN {same} THEN {_with('kept[hit]', 'kept[hit].confidence', repr('both'))} ELSE kept[hit] END"
+    return f"""{WITH.replace("WITH", "WITH RECURSIVE", 1)}, {_MODEL_SQL}, {_SIDES_FROM},
+    ordered AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY s.start, s.confidence DESC, side, pos) AS k
+                FROM (SELECT * FROM regex_side UNION ALL SELECT * FROM model_side)),
+    fold(doc_id, k, kept) AS (
+      SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST([] AS {_SPAN_KIND}[]) FROM ordered
+      UNION ALL
+      SELECT doc_id, k, CASE WHEN hit = 0 OR hit < clear THEN list_append(kept, s)
+                             WHEN s.confidence > kept[hit].confidence THEN {_put('hit', better)} ELSE {_put('hit', other)} END
+      FROM (SELECT f.doc_id, o.k, kept, s, {hit} AS hit, {clear} AS clear FROM fold f JOIN ordered o ON o.doc_id = f.doc_id AND o.k = f.k + 1)),
+    done AS (SELECT doc_id, unnest(max_by(kept, k)) AS s FROM fold GROUP BY doc_id)
+    SELECT doc_id, s.type, s.start, s."end", s.source, round(s.confidence, 4) AS confidence FROM done"""
+
+
+def _overlap_sql() -> str:
+    taken = (
+        "list_sort(list_transform(list_filter(m.l, lambda x: x.s.start < r.s.\"end\" AND r.s.start < x.s.\"end\" AND NOT list_contains(f.used, x.pos)), "
+        "lambda x: struct_pack(c := -x.s.confidence, pos := x.pos)))[1]"
+    )
+    return f"""{WITH.replace("WITH", "WITH RECURSIVE", 1)}, {_MODEL_SQL}, {_SIDES_FROM},
+    lists AS (SELECT doc_id, list(struct_pack(pos := pos, s := s) ORDER BY pos) AS l FROM model_side GROUP BY doc_id),
+    take(doc_id, k, used, kept) AS (
+      SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS {_SPAN_KIND}[]) FROM (SELECT doc_id FROM regex_side UNION ALL SELECT doc_id FROM model_side)
+      UNION ALL
+      SELECT doc_id, k, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.pos) END,
+             list_append(kept, CASE WHEN best IS NULL THEN s ELSE {_with('s', 'greatest(s.confidence, -best.c)', repr('both'))} END)
+      FROM (SELECT f.doc_id, r.pos AS k, f.used, f.kept, r.s, {taken} AS best
+            FROM take f JOIN regex_side r ON r.doc_id = f.doc_id AND r.pos = f.k + 1 LEFT JOIN lists m ON m.doc_id = f.doc_id)),
+    taken AS (SELECT doc_id, max_by(used, k) AS used, max_by(kept, k) AS kept FROM take GROUP BY doc_id),
+    rest AS (SELECT doc_id, unnest(kept) AS s, generate_subscripts(kept, 1) AS pos, 0 AS side FROM taken
+             UNION ALL SELECT m.doc_id, m.s, m.pos, 1 FROM model_side m JOIN taken t ON t.doc_id = m.doc_id WHERE NOT list_contains(t.used, m.pos)),
+    ordered AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY s.start, s.confidence DESC, side, pos) AS k FROM rest),
+    fold(doc_id, k, kept) AS (
+      SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST([] AS {_SPAN_KIND}[]) FROM ordered
+      UNION ALL
+      SELECT f.doc_id, o.k, CASE WHEN len(kept) = 0 OR kept[-1]."end" <= s.start THEN list_append(kept, s)
+                                 WHEN s.confidence > kept[-1].confidence THEN list_append(kept[1:len(kept) - 1], s) ELSE kept END
+      FROM fold f JOIN ordered o ON o.doc_id = f.doc_id AND o.k = f.k + 1),
+    done AS (SELECT doc_id, unnest(max_by(kept, k)) AS s FROM fold GROUP BY doc_id)
+    SELECT doc_id, s.type, s.start, s."end", s.source, round(s.confidence, 4) AS confidence FROM done"""
+
+
 def chat_oracles() -> dict[str, str]:
     d = f"{WITH}, {_DAILY}"
     m = f"{WITH}, {_MAP}"
@@ -634,6 +703,8 @@ def chat_oracles() -> dict[str, str]:
               coalesce(s."end", m."end") AS "end", CASE WHEN m.type IS NULL THEN 'regex' WHEN s.type IS NULL THEN 'ner' ELSE 'both' END AS source,
               round(greatest(s.confidence, m.confidence), 4) AS confidence
             FROM sp s FULL JOIN model m ON s.doc_id = m.doc_id AND s.type = m.type AND s.start = m.start AND s."end" = m."end" """,
+        "merge_overlap": _overlap_sql(),
+        "merge_best": _best_sql(),
         "calibrate": _calibration_sql(),
         "evaluate": f"""{WITH}, exp AS (SELECT doc_id, 'SSN' AS type, regexp_extract(text, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}', 0) AS want FROM chat
               UNION ALL SELECT doc_id, 'PHONE_US', '-' FROM chat),

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.operators import chatlogs, filters, ner
+from maskwell.operators import chatlogs, filters, intervals, ner
 from maskwell.operators import detect as det
 from maskwell.plans import oracle as sql
 from maskwell.plans import scan
@@ -197,6 +197,14 @@ def q_code_filter(spark, sf_dir):
     return span_rows(det.drop_excluded(found), "id")
 
 
+def q_excluded_rows(spark, sf_dir):
+    """The code filter with spans and ranges as rows."""
+    texts = customer_texts(spark, sf_dir, CODE_TEXT)
+    found = span_rows(det.detect_spans(texts, types=["SSN"], phrases=False), "id")
+    ranges = det.excluded_ranges(texts).select("id", F.explode("ranges").alias("r")).select("id", "r.*")
+    return intervals.drop_contained(found, ranges, ["id"])
+
+
 def q_excluded_ranges(spark, sf_dir):
     texts = customer_texts(spark, sf_dir, CODE_TEXT)
     return det.excluded_ranges(texts).select("id", F.explode("ranges").alias("r")).select("id", "r.*")
@@ -554,6 +562,7 @@ def content_oracles() -> dict[str, str]:
         "(?:[A-Za-z0-9_\\-]*(?:api[_\\-]?key|api[_\\-]?token|api[_\\-]?secret|access[_\\-]?key|access[_\\-]?token|auth[_\\-]?token|"
         "secret[_\\-]?key|client[_\\-]?secret|private[_\\-]?key|secret|token))[\"''`]?\\s*[:=]\\s*[\"''`]?([A-Za-z0-9_/+.\\-]{16,})"
     )
+    code_filter = f"""SELECT id, type, value, start, "end", round(confidence, 4) AS confidence FROM ({_code_hits()}) h WHERE confidence > 0 AND NOT {in_range}"""
     return {
         "document_spans": _resolved("documents", "doc_id", "text"),
         "page_spans": _resolved("pages", "page_id", "html"),
@@ -572,7 +581,8 @@ def content_oracles() -> dict[str, str]:
             AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]') AND {_entropy_sql('v')} >= {MIN_ENTROPY}""",
         "announced_free_text": _free_sql(),
         "announced_shapes": _shaped_sql(),
-        "code_filter": f"""SELECT id, type, value, start, "end", round(confidence, 4) AS confidence FROM ({_code_hits()}) h WHERE confidence > 0 AND NOT {in_range}""",
+        "code_filter": code_filter,
+        "excluded_rows": code_filter,
         "excluded_ranges": ranges,
         "context_class": f"""SELECT h.id, h.start, CASE
               WHEN ((length(substr(t.text, 1, h.start)) - length(replace(substr(t.text, 1, h.start), '```', ''))) // 3) % 2 = 1 THEN 'code'

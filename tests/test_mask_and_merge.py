@@ -1,10 +1,11 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from maskwell.functions.scan import SPANS
 from maskwell.operators import detect as det
-from maskwell.operators import filters, mask, merge
+from maskwell.operators import filters, intervals, mask, merge
 
 SPAN_DOC = f"doc_id int, spans {SPANS}, ner_spans {SPANS}"
 
@@ -116,6 +117,67 @@ def test_overlap_merges_match_brute_force(spark):
         assert best[i] == best_brute(regex, ner)
 
 
+def test_sweeps_on_crowded_documents(spark):
+    """Pattern spans that overlap each other, ties, equal starts, and a chain of thousands of spans."""
+    rng = random.Random(12)
+
+    def some(source, n, width, reach):
+        out = []
+        for _ in range(n):
+            start = rng.randrange(reach)
+            out.append((rng.choice(["SSN", "EMAIL"]), source, start, start + rng.randint(1, width), rng.randint(5, 9) / 10, source))
+        return out
+
+    docs = []
+    for i in range(200):
+        regex = sorted(some("regex", rng.randint(0, 9), 12, 30), key=lambda s: s[2])
+        docs.append((i, regex, some("ner", rng.randint(0, 12), 12, 30)))
+    docs.append((200, sorted(some("regex", 3000, 9, 9000), key=lambda s: s[2]), some("ner", 3000, 9, 9000)))
+    df = spark.createDataFrame([*docs, (201, None, None), (202, None, docs[0][2])], SPAN_DOC)
+    overlap = {r.doc_id: [tuple(s) for s in r.merged] for r in merge.merge_overlap(df).collect()}
+    best = {r.doc_id: [tuple(s) for s in r.merged] for r in merge.merge_best(df).collect()}
+    for i, regex, ner in docs:
+        assert overlap[i] == overlap_brute(regex, ner), i
+        assert best[i] == best_brute(regex, ner), i
+    assert overlap[201] == best[201] == [] and best[202] == docs[0][2]
+
+
+def contained_brute(spans, ranges):
+    return sorted(
+        (s for s in spans if not any(r[0] == s[0] and r[1] <= s[1] and s[2] <= r[2] for r in ranges if None not in (*r, *s[:3]))), key=str
+    )
+
+
+@pytest.mark.parametrize("tile", [1, 7, 65_536])
+def test_spans_inside_ranges(spark, tile):
+    rng = random.Random(tile)
+
+    def some(n, width):
+        starts = [rng.randrange(90) for _ in range(n)]
+        return [(rng.choice([1, 2, None]), s, s + rng.randint(0, width)) for s in starts]
+
+    ranges = [*some(40, 30), (1, None, 5), (2, 3, None), (1, 0, 2)]
+    spans = [(*s, f"v{i}") for i, s in enumerate(some(400, 9))] + [(1, None, 3, "x"), (1, 4, None, "y"), (1, 0, 1, "in")] * 2
+    a = spark.createDataFrame(spans, "doc_id int, start int, end int, _reach string")
+    b = spark.createDataFrame(ranges, "doc_id int, start int, end int")
+    got = sorted((tuple(r) for r in intervals.drop_contained(a, b, tile=tile).collect()), key=str)
+    assert got == contained_brute(spans, ranges)
+    assert intervals.drop_contained(a, b.limit(0)).count() == len(spans) and intervals.drop_contained(a.limit(0), b).count() == 0
+
+
+def test_a_long_document_is_spread(spark):
+    """Ten million characters with a range over half of them and many short ones: tasks get parts of the document."""
+    n = 100_000
+    spans = spark.range(n).selectExpr("1 AS doc_id", "CAST(id * 100 AS INT) AS start", "CAST(id * 100 + 9 AS INT) AS end")
+    short = spark.range(n).selectExpr("1 AS doc_id", "CAST(id * 100 AS INT) AS start", "CAST(id * 100 + id % 2 * 9 AS INT) AS end")
+    ranges = short.union(spark.sql("SELECT 1, 1000000, 6000000"))
+    left = intervals.drop_contained(spans, ranges).cache()
+    assert left.count() == n - n // 2 - 25_000
+    assert left.where("start BETWEEN 1000000 AND 5999900").count() == 0
+    with_id = intervals.with_reach(spans, ranges).groupBy(F.spark_partition_id()).count().collect()
+    assert len(with_id) > 1 and max(r["count"] for r in with_id) < 0.6 * n
+
+
 def test_voting_rows_equal_arrays(spark):
     docs = [
         (0, [("SSN", "a", 0, 3, 0.97, "regex")], [("SSN", "a", 0, 3, 0.6, "ner"), ("PERSON_NAME", "b", 5, 9, 0.8, "ner")]),
