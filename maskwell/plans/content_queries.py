@@ -288,6 +288,118 @@ def q_sentence_wrap(spark, sf_dir):
 _KV = f"concat('- Name: ', c_name, chr(10), {pick(C, repr('plain words'), repr('2) Home City: Paris'))}, chr(10), 'Segment:  ', c_mktsegment)"
 
 
+_AT_ORG, _AT_LTD = "12 + length(c_nationkey)", "13 + length(c_nationkey) + length(c_mktsegment)"
+#: Tokens of the text "Ms Ann Mary7 of BUILDING Ltd near Rome" of each customer: word, tag, score, start.
+_TOKENS = (
+    ("'Ann'", "'B-PER'", "0.9", "3"),
+    ("'Mary'", "'I-PER'", "0.8", "7"),
+    ("concat('##', c_nationkey)", "'I-PER'", "0.7", "11"),
+    ("c_mktsegment", "'B-ORG'", "0.95", f"{_AT_ORG} + 3"),
+    ("'Ltd'", pick(C, "'I-ORG'", "'I-LOC'", "'B-ORG'", "'ORG'", "'O'"), "0.55", f"{_AT_LTD} + 3"),
+    ("'Rome'", pick("(c_custkey // 5)", "'I-LOC'", "'B-LOC'", "'I-'"), "0.65", f"{_AT_LTD} + 12"),
+)
+
+
+def _token_rows(engine: str) -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT {C} AS doc_id, CAST({C} % 2 AS INTEGER) AS chunk_id, {i} AS idx, {word} AS word, {tag} AS entity, "
+        f"CAST({score} AS DOUBLE) AS score, CAST({start} AS INTEGER) AS start, "
+        f'CAST({start} + length(replace({word}, \'##\', \'\')) AS INTEGER) AS "end" FROM customer'
+        for i, (word, tag, score, start) in enumerate(_TOKENS)
+    )
+    rows = rows.replace("length(c_nationkey)", "length(CAST(c_nationkey AS VARCHAR(9)))").replace("'##', c_nationkey", "'##', CAST(c_nationkey AS VARCHAR(9))")
+    return portable(rows, engine).replace('"end"', "`end`") if engine == "spark" else rows
+
+
+def q_token_entities(spark, sf_dir):
+    """Entities from word pieces: runs of tags as islands."""
+    tokens = _from_customer(spark, sf_dir, _token_rows("spark"))
+    return ner.group_tokens(tokens).select("doc_id", "chunk_id", "label", "word", F.round("score", 6).alias("score"), "start", "end")
+
+
+def _from_customer(spark, sf_dir, query: str):
+    return spark.sql(query.replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+
+
+def _token_entities_sql() -> str:
+    return f"""
+    WITH t AS ({_token_rows('duckdb')}),
+    l AS (SELECT *, CASE WHEN regexp_matches(entity, '^[BI]-.') THEN substr(entity, 3) ELSE entity END AS label FROM t),
+    b AS (SELECT *, CASE WHEN starts_with(entity, 'I-') AND label = lag(label) OVER w THEN 0 ELSE 1 END AS fresh FROM l WINDOW w AS (PARTITION BY doc_id, chunk_id ORDER BY idx)),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, chunk_id ORDER BY idx) AS island FROM b)
+    SELECT doc_id, chunk_id, any_value(label) AS label,
+           ltrim(string_agg(CASE WHEN starts_with(word, '##') THEN substr(word, 3) ELSE ' ' || word END, '' ORDER BY idx)) AS word,
+           round(avg(score), 6) AS score, min(start) AS start, max("end") AS "end"
+    FROM g GROUP BY doc_id, chunk_id, island"""
+
+
+_PLACED = (
+    "o_custkey AS doc_id", f"{pick('o_orderkey', repr('PERSON_NAME'), repr('LOCATION'), repr('PERSON_NAME'))} AS type",
+    "CAST(o_orderkey % 3 AS INTEGER) AS chunk_id", "CAST((o_orderkey % 3) * 20 AS INTEGER) AS offset",
+    "CAST((o_orderkey * 37) % 40 AS INTEGER) AS start", "CAST((o_orderkey * 37) % 40 + 3 + o_orderkey % 9 AS INTEGER) AS stop",
+    "concat('v', CAST(o_orderkey % 1000 AS VARCHAR(9))) AS value", "0.5 + CAST(o_orderkey % 40 AS DOUBLE) / 100 AS confidence",
+)
+
+
+def q_merged_chunks(spark, sf_dir):
+    """Entities of overlapping chunks: of those of a type that overlap the surer one stays."""
+    placed = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(*(portable(c, "spark") for c in _PLACED))
+    merged = ner.merge_chunk_rows(placed.withColumnRenamed("stop", "end"))
+    return merged.select("doc_id", "type", "value", "start", "end", F.round("confidence", 4).alias("confidence"))
+
+
+def _merged_chunks_sql() -> str:
+    """A fold over each document and type, span by span."""
+    hit = "coalesce(list_min(list_filter(range(1, len(kept) + 1), lambda i: kept[i].start < s.stop AND s.start < kept[i].stop)), 0)"
+    kind = "STRUCT(value VARCHAR, start INTEGER, stop INTEGER, confidence DOUBLE)"
+    return f"""
+    WITH RECURSIVE p AS (SELECT {', '.join(_PLACED)} FROM orders),
+    ordered AS (SELECT doc_id, type, struct_pack(value := value, start := CAST(start + "offset" AS INTEGER), stop := CAST(stop + "offset" AS INTEGER), confidence := CAST(confidence AS DOUBLE)) AS s,
+                row_number() OVER (PARTITION BY doc_id, type ORDER BY start + "offset", stop + "offset", chunk_id, value, confidence) AS k FROM p),
+    fold(doc_id, type, k, kept) AS (
+      SELECT DISTINCT doc_id, type, CAST(0 AS BIGINT), CAST([] AS {kind}[]) FROM ordered
+      UNION ALL
+      SELECT doc_id, type, k, CASE WHEN hit = 0 THEN list_append(kept, s) WHEN s.confidence > kept[hit].confidence
+             THEN list_concat(kept[1:hit - 1], [s], kept[hit + 1:]) ELSE kept END
+      FROM (SELECT f.doc_id, f.type, o.k, kept, s, {hit} AS hit FROM fold f JOIN ordered o ON o.doc_id = f.doc_id AND o.type = f.type AND o.k = f.k + 1)),
+    done AS (SELECT doc_id, type, unnest(max_by(kept, k)) AS s FROM fold GROUP BY doc_id, type)
+    SELECT doc_id, type, s.value, s.start, s.stop AS "end", round(s.confidence, 4) AS confidence FROM done"""
+
+
+_WRAPPED_SPANS = (
+    # Inside the name, over its end, before it, inside the last value, over its end.
+    ("13", "18"), ("15", "16 + length(c_name)"), ("3", "9"),
+    ("TAIL + 14", "TAIL + 17"), ("TAIL + 16", "TAIL + 15 + length(c_mktsegment)"),
+)
+_TAIL = f"(13 + length(c_name) + CASE WHEN {C} % 2 = 0 THEN 12 ELSE 23 END)"
+
+
+def q_unwrapped_spans(spark, sf_dir):
+    """Spans of wrapped texts in the places of the original ones."""
+    texts = customer_texts(spark, sf_dir, _KV).withColumnRenamed("id", "doc_id")
+    wrapped = ner.sentence_wrap(texts, min_lines=2)
+    base = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    pairs = ", ".join(f"named_struct('n', {i}, 'start', {a}, 'end', {b})".replace("TAIL", _TAIL) for i, (a, b) in enumerate(_WRAPPED_SPANS))
+    places = base.select(F.col(C).alias("doc_id"), F.explode(F.expr(f"array({pairs})")).alias("s")).select("doc_id", "s.*")
+    spans = places.join(wrapped, "doc_id").selectExpr("doc_id", "n", "start", "end", "substr(wrapped, start + 1, end - start) AS raw")
+    mappings = wrapped.select("doc_id", F.explode("mappings").alias("m")).select("doc_id", "m.*")
+    return ner.unwrap_rows(spans, mappings, wrapped.where("wrapped IS NOT NULL"))
+
+
+def _unwrapped_sql() -> str:
+    # Where each span goes: the name begins at 8, the last value after the second line and "Segment:  ".
+    tail = f"(8 + length(c_name) + 1 + CASE WHEN {C} % 2 = 0 THEN 11 ELSE 19 END + 1 + 10)"
+    moved = (
+        ("10", "15"), ("12", "8 + length(c_name)"), ("3", "9"),
+        (f"{tail} + 0", f"{tail} + 3"), (f"{tail} + 2", f"least({tail} + length(c_mktsegment), {tail} + 1 + length(c_mktsegment))"),
+    )
+    parts = " UNION ALL ".join(
+        f"SELECT {C} AS doc_id, {i} AS n, CAST({a} AS INTEGER) AS start, CAST({b} AS INTEGER) AS \"end\", {_KV} AS text FROM customer"
+        for i, (a, b) in enumerate(moved)
+    )
+    return f'SELECT doc_id, n, start, "end", trim(substr(text, start + 1, "end" - start)) AS value FROM ({parts})'
+
+
 def stand_in_model():
     """Every capitalised word is a person. Local, so that it travels with the plan."""
 
@@ -600,6 +712,9 @@ def content_oracles() -> dict[str, str]:
         "valid_payloads": f"SELECT {conv} AS id, ({conv}) % 5 <> 0 AS valid FROM conversations",
         "scrub_payload": f"SELECT {conv} AS id, '[NAME_1] ' || text || '!' AS text FROM conversations",
         "scrubbed_fields": _scrubbed_sql(),
+        "token_entities": _token_entities_sql(),
+        "merged_chunks": _merged_chunks_sql(),
+        "unwrapped_spans": _unwrapped_sql(),
         "assembled_answers": f"SELECT {conv} AS response_id, regexp_replace(text, '\\s+', '_', 'g') AS text, true AS complete FROM conversations",
         "dialect_answers": f"SELECT {conv} AS response_id, regexp_replace(text, '\\s+', '_', 'g') || 'late' AS text FROM conversations WHERE (conv_id + turn) % 8 IN (0, 1)",
     }

@@ -123,6 +123,90 @@ def test_a_failing_model_yields_nothing(spark):
     assert ner.entities_of(df, broken).count() == 0
 
 
+def test_one_bad_text_does_not_take_its_batch(spark):
+    def picky(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("no")
+        return [[{"word": w, "entity": "B-PER", "score": 0.9} for w in t.split()] for t in texts]
+
+    chunks = spark.createDataFrame([("a", 0, 0, "x y"), ("b", 0, 0, "bad"), ("c", 1, 5, "x")], "doc_id string, chunk_id int, offset int, chunk string")
+    got = {(r.doc_id, r.chunk_id, r.idx, r.word, r.start, r.end, r.error) for r in ner.infer(chunks.coalesce(1), picky).collect()}
+    assert got == {("a", 0, 0, "x", 0, 1, None), ("a", 0, 1, "y", 2, 3, None), ("b", 0, -1, None, None, None, "ValueError: no"), ("c", 1, 0, "x", 0, 1, None)}
+    assert ner.infer(chunks.limit(0), picky).count() == 0
+
+
+def test_islands_of_tokens(spark):
+    """Against the loop over tokens that the islands stand for, on random tags."""
+    import random
+
+    rng = random.Random(4)
+    tags = ["B-PER", "I-PER", "I-LOC", "B-LOC", "LOC", "I-", "O"]
+    rows, want = [], []
+    for doc in range(60):
+        group = None
+        for i in range(rng.randrange(9)):
+            word, tag, score = rng.choice(["Ann", "##ie", "of"]), rng.choice(tags), rng.choice([0.5, 0.75])
+            rows.append((f"d{doc}", doc % 3, i, word, tag, score, 5 * i, 5 * i + 3))
+            label = tag[2:] if len(tag) > 2 and tag[:2] in ("B-", "I-") else tag
+            piece = word[2:] if word.startswith("##") else word
+            if group and tag.startswith("I-") and label == group[2]:
+                group[3] += piece if word.startswith("##") else " " + piece
+                group[4].append(score)
+                group[6] = 5 * i + 3
+            else:
+                group = [f"d{doc}", doc % 3, label, piece, [score], 5 * i, 5 * i + 3]
+                want.append(group)
+    rng.shuffle(rows)
+    df = spark.createDataFrame([*rows, ("d1", 1, 99, None, None, None, None, None)], "doc_id string, chunk_id int, idx int, word string, entity string, score double, start int, end int")
+    got = sorted((*list(r)[:4], round(r.score, 9), r.start, r.end) for r in ner.group_tokens(df).collect())
+    assert got == sorted((*g[:4], round(sum(g[4]) / len(g[4]), 9), *g[5:]) for g in want)
+
+
+def test_islands_of_spans(spark):
+    """Against the fold over all spans of a document, on random spans with ties and repeats."""
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for doc in range(80):
+        for _ in range(rng.randrange(12)):
+            start = rng.randrange(30)
+            rows.append((doc, rng.choice(["A", "B"]), start, start + rng.randint(1, 8), rng.randrange(3), f"v{rng.randrange(3)}", rng.randint(5, 8) / 10, 10))
+    rows += rows[:20]
+    want = []
+    for doc in range(80):
+        for kind in "AB":
+            kept = []
+            for r in sorted((r for r in rows if r[:2] == (doc, kind)), key=lambda r: r[2:7]):
+                hit = next((i for i, k in enumerate(kept) if k[2] < r[3] and r[2] < k[3]), None)
+                if hit is None:
+                    kept.append(r)
+                elif r[6] > kept[hit][6]:
+                    kept[hit] = r
+            want += [(doc, kind, k[5], k[2] + 10, k[3] + 10, k[6]) for k in kept]
+    df = spark.createDataFrame(rows, "doc_id int, type string, start int, end int, chunk_id int, value string, confidence double, offset int")
+    assert sorted(tuple(r)[:6] for r in ner.merge_chunk_rows(df).collect()) == sorted(want)
+    assert ner.merge_chunks(df.limit(0)).count() == 0
+
+
+def test_spans_go_back_through_mappings(spark):
+    from maskwell.functions.scan import SPANS
+
+    text = "- Name: Ann Lee\n- Home City: Oslo \nplain words"
+    wrapped = ner.sentence_wrap(spark.createDataFrame([(1, text), (2, "no pairs")], "doc_id int, text string")).collect()
+    synth = wrapped[0].wrapped
+    places = [(synth.index("Ann"), synth.index("Ann") + 7), (synth.index("Lee"), synth.index("Oslo") + 2), (0, 5), (synth.index("plain"), len(synth) - 1)]
+    spans = [("PERSON_NAME", synth[a:b].strip(), a, b, 0.9, "ner") for a, b in places]
+    rows = spark.createDataFrame([(1, *s, synth[s[2] : s[3]]) for s in spans], "doc_id int, type string, value string, start int, end int, confidence double, source string, raw string")
+    maps = spark.createDataFrame([(1, *m) for m in wrapped[0].mappings], "doc_id int, synth_start int, synth_end int, orig_start int, orig_end int")
+    got = {(r.start, r.end, r.value) for r in ner.unwrap_rows(rows, maps, spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()}
+    assert got == {(8, 15, "Ann Lee"), (12, 15, "Lee"), (0, 5, "- Nam"), (35, 46, "plain words")}
+    arrays = spark.createDataFrame([(1, text, spans, [tuple(m) for m in wrapped[0].mappings]), (2, "no", None, [])], f"doc_id int, text string, spans {SPANS}, mappings array<struct<synth_start:int,synth_end:int,orig_start:int,orig_end:int>>")
+    back = {r.doc_id: r.spans for r in ner.unwrap_offsets(arrays).collect()}
+    assert {(s.start, s.end) for s in back[1]} == {g[:2] for g in got} and back[2] is None
+    assert [s.value for s in back[1]] == ["Ann Lee", "Lee", "- Nam", "plain words"]
+
+
 def test_vault(spark, tmp_path):
     rows = spark.createDataFrame(
         [("s", "SSN", "v1", 1, "[SSN_1]"), ("s", "API_KEY", "v2", 1, "[API_KEY_1]")],
