@@ -594,8 +594,8 @@ def scrub_payload(
 # ---------------------------------------------------------------- event streams
 
 
-def sse_events(df: DataFrame, stream: str = "stream", *keep: str) -> DataFrame:
-    """Frames of a server-sent event stream: one row per event with data, in order.
+def parsed_frames(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """Fields of frames (``frame``, ``seq``): one row per event with data.
 
     Data lines of a frame are joined by newlines, comment lines are dropped, the last
     ``event``, ``id`` and ``retry`` field of a frame counts.
@@ -606,11 +606,6 @@ def sse_events(df: DataFrame, stream: str = "stream", *keep: str) -> DataFrame:
         "'k', if(contains(l, ':'), substring_index(l, ':', 1), l), "
         "'v', if(contains(l, ':'), regexp_replace(substr(l, locate(':', l) + 1), '^ ', ''), '')))"
     )
-    keys = list(keep) or [c for c in df.columns if c != stream]
-    frames = df.select(
-        *keys,
-        F.posexplode(F.split(F.regexp_replace(stream, "\r\n|\r", "\n"), "\n\n+")).alias("frame_no", "frame"),
-    ).withColumn("f", F.expr(fields))
 
     def last(name: str) -> Column:
         return F.expr(f"try_element_at(filter(f, x -> x.k = '{name}'), -1).v")
@@ -618,10 +613,11 @@ def sse_events(df: DataFrame, stream: str = "stream", *keep: str) -> DataFrame:
     data = F.expr("transform(filter(f, x -> x.k = 'data'), x -> x.v)")
     retry = F.when(F.trim(last("retry")).rlike("^(?:0|-?[1-9][0-9]*)$"), last("retry").try_cast("int"))
     return (
-        frames.where(F.size(data) > 0)
+        frames.withColumn("f", F.expr(fields))
+        .where(F.size(data) > 0)
         .select(
             *keys,
-            F.col("frame_no").alias("seq"),
+            "seq",
             last("event").alias("event"),
             F.array_join(data, "\n").alias("data"),
             last("id").alias("id"),
@@ -630,6 +626,16 @@ def sse_events(df: DataFrame, stream: str = "stream", *keep: str) -> DataFrame:
     )
 
 
+def sse_events(df: DataFrame, stream: str = "stream", *keep: str) -> DataFrame:
+    """Frames of a server-sent event stream in one column: one row per event with data, in order."""
+    keys = list(keep) or [c for c in df.columns if c != stream]
+    frames = df.select(
+        *keys,
+        F.posexplode(F.split(F.regexp_replace(stream, "\r\n|\r", "\n"), "\n\n+")).alias("seq", "frame"),
+    )
+    return parsed_frames(frames, keys)
+
+
 PARTS_PER_BUCKET = 4096
 
 

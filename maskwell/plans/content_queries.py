@@ -15,7 +15,9 @@ from maskwell.plans.planted import C, HEX, digits, pick, portable
 from maskwell.rules.credentials import MIN_ENTROPY, VENDORS
 from maskwell.rules.phrases import PHRASES, STOP_WORDS
 from maskwell.rules.registry import PROVIDERS
+from maskwell.sources import events as event_files
 from maskwell.sources.tables import spread
+from maskwell.streaming.live import checkpoint_dir
 
 KEYED = [(v[0], v[2][0]) for v in VENDORS if v[2]]
 DOC_TYPES = ("CREDIT_CARD", "PHONE_US", "PHONE_INTL", "IPV4")
@@ -649,6 +651,28 @@ def q_assembled_answers(spark, sf_dir):
     return chatlogs.assemble_responses(events).select("response_id", "text", "complete")
 
 
+def _dumped(spark, sf_dir) -> str:
+    """The answers as event-stream files: many answers a file, each after a comment that names it."""
+    told = streams(spark, sf_dir).select(
+        F.concat(F.lit(": answer "), "response_id", F.lit(" "), "provider", F.lit("\n\n"), "stream").alias("value")
+    )
+    path = checkpoint_dir(spark, "dumps")
+    told.write.text(path)
+    return path
+
+
+def q_answers_from_files(spark, sf_dir):
+    found = event_files.assembled(event_files.read_event_files(spark, _dumped(spark, sf_dir)))
+    return found.select(F.col("response_id").cast("long").alias("response_id"), "text", "complete")
+
+
+def q_answers_from_arriving_files(spark, sf_dir):
+    base = checkpoint_dir(spark, "arriving")
+    event_files.stream_event_files(spark, _dumped(spark, sf_dir), f"{base}/events", f"{base}/state").awaitTermination()
+    found = event_files.assembled(spark.read.parquet(f"{base}/events"))
+    return found.select(F.col("response_id").cast("long").alias("response_id"), "text", "complete")
+
+
 def q_dialect_answers(spark, sf_dir):
     three = streams(spark, sf_dir).where("provider IN ('CHATGPT', 'CLAUDE')")
     events = chatlogs.sse_events(three)
@@ -674,6 +698,7 @@ def content_oracles() -> dict[str, str]:
         "(?:[A-Za-z0-9_\\-]*(?:api[_\\-]?key|api[_\\-]?token|api[_\\-]?secret|access[_\\-]?key|access[_\\-]?token|auth[_\\-]?token|"
         "secret[_\\-]?key|client[_\\-]?secret|private[_\\-]?key|secret|token))[\"''`]?\\s*[:=]\\s*[\"''`]?([A-Za-z0-9_/+.\\-]{16,})"
     )
+    answers = f"SELECT {conv} AS response_id, regexp_replace(text, '\\s+', '_', 'g') AS text, true AS complete FROM conversations"
     code_filter = f"""SELECT id, type, value, start, "end", round(confidence, 4) AS confidence FROM ({_code_hits()}) h WHERE confidence > 0 AND NOT {in_range}"""
     return {
         "document_spans": _resolved("documents", "doc_id", "text"),
@@ -715,7 +740,9 @@ def content_oracles() -> dict[str, str]:
         "token_entities": _token_entities_sql(),
         "merged_chunks": _merged_chunks_sql(),
         "unwrapped_spans": _unwrapped_sql(),
-        "assembled_answers": f"SELECT {conv} AS response_id, regexp_replace(text, '\\s+', '_', 'g') AS text, true AS complete FROM conversations",
+        "answers_from_files": answers,
+        "answers_from_arriving_files": answers,
+        "assembled_answers": answers,
         "dialect_answers": f"SELECT {conv} AS response_id, regexp_replace(text, '\\s+', '_', 'g') || 'late' AS text FROM conversations WHERE (conv_id + turn) % 8 IN (0, 1)",
     }
 

@@ -103,6 +103,46 @@ def test_long_answers_are_joined_in_order(spark):
     assert [(r.text, r.complete) for r in got] == [("".join(f"{i}," for i in range(50)), True)]
 
 
+def test_event_files_in_any_split(spark, tmp_path):
+    """Answers that span splits, several a file, with carriage returns, blank frames and frames of no answer."""
+    from maskwell.sources import events
+
+    def answer(name, n):
+        return f": answer {name} GROK\n\n" + "".join(f'data: {{"token":"{name}{i},"}}\n\n' for i in range(n)) + "data: [DONE]\n\n"
+
+    texts = {
+        "one": 'data: {"token":"nobody"}\n\n' + answer("a", 300) + "\n" + answer("b", 3),
+        "two": answer("c", 500).replace("\n\n", "\r\n\n") + answer("a", 2),
+        "three": ": answer d GROK\n\ndata: {\"token\":\ndata: \"x\"}\n\n: answer e GROK\nevent: m\ndata: {\"token\":\"y\"}",
+    }
+    (tmp_path / "in").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "in" / name).write_bytes(text.encode())
+    want = {
+        ("one", "a", "".join(f"a{i}," for i in range(300)), True), ("one", "b", "b0,b1,b2,", True),
+        ("two", "c", "".join(f"c{i}," for i in range(500)), True), ("two", "a", "a0,a1,", True),
+        ("three", "d", "x", False), ("three", "e", "y", False),
+    }
+
+    def answers(found):
+        return {(r.file.rsplit("/", 1)[-1], r.response_id, r.text, r.complete) for r in events.assembled(found).collect()}
+
+    for size in ("100", "1000", "128m"):
+        own = spark.newSession()
+        own.conf.set("spark.sql.files.maxPartitionBytes", size)
+        own.conf.set("spark.sql.files.openCostInBytes", "1")
+        found = events.read_event_files(own, str(tmp_path / "in"))
+        assert answers(found) == want
+        assert found.where("response_id IS NULL").count() == 1
+    # A stream that is stopped after each file and started again.
+    for _ in range(2):
+        out, state = str(tmp_path / "out"), str(tmp_path / "state")
+        events.stream_event_files(spark, str(tmp_path / "in"), out, state, files_per_batch=1).awaitTermination()
+        assert answers(spark.read.parquet(out)) == want
+        (tmp_path / "in" / "four").write_text(answer("z", 2))
+        want.add(("four", "z", "z0,z1,", True))
+
+
 def test_entities_from_word_pieces(spark):
     text = "Met Jo Sandberg at ACME in Oslo"
     chunks = spark.createDataFrame([(1, 0, 100, text)], "doc_id long, chunk_id int, offset int, chunk string")
