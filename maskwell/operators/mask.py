@@ -346,6 +346,25 @@ def map_to_snapshot(placeholder_map: DataFrame, session: str = "session_id") ->
     )
 
 
+#: Placeholders of a page.
+PAGE = 1000
+
+
+def map_to_pages(placeholder_map: DataFrame, session: str = "session_id", size: int = PAGE) -> DataFrame:
+    """The flat map in pages of a session and label: session, ``label``, ``page``, ``last``, ``snapshot``.
+
+    Numbers are dense, so ``size`` bounds a page whatever the session holds, and nothing but a page is gathered.
+    ``last`` is the label's highest number; every page has it as the label's counter. Repeated rows count once.
+    """
+    page = F.floor((F.col("n") - 1) / size).cast("int")
+    pages = placeholder_map.groupBy(session, "label", page.alias("page")).agg(
+        F.sort_array(F.collect_set(F.struct("placeholder", "value"))).alias("pairs"), F.max("n").alias("here")
+    )
+    pages = pages.withColumn("last", F.max("here").over(Window.partitionBy(session, "label")).cast("int"))
+    counter = F.array(F.struct(F.concat(F.lit("__counter:"), "label").alias("placeholder"), F.col("last").cast("string").alias("value")))
+    return pages.select(session, "label", "page", "last", F.map_from_entries(F.concat("pairs", counter)).alias("snapshot"))
+
+
 def snapshot_to_map(snapshots: DataFrame, session: str = "session_id") -> DataFrame:
     """Rows of the session map again; counters only tell where numbering goes on."""
     rows = snapshots.select(session, F.explode("snapshot").alias("placeholder", "value"))

@@ -17,7 +17,7 @@ from maskwell.plans import oracle as sql
 from maskwell.plans.planted import cut, digits, pick, portable
 from maskwell.rules.registry import CATEGORY_OF, PII_TYPES, PLACEHOLDER_OF, PROVIDERS
 from maskwell.sources.tables import add_rule, saved, spread
-from maskwell.sources.vault import seal, unseal
+from maskwell.sources.vault import seal, unseal, vault_state
 
 TYPES = ("SSN", "CREDIT_CARD", "PHONE_US")
 K = "o_orderkey"
@@ -329,11 +329,19 @@ def q_segments(spark, sf_dir):
     return cut_up.select("doc_id", "i", "s.text", "s.is_pii")
 
 
-def q_snapshot(spark, sf_dir):
-    """Map to snapshot, through the encrypted vault and back to rows."""
+def _opened(spark, sf_dir):
     key = b"0123456789abcdef"
-    sealed = seal(mask.map_to_snapshot(_map(spark, sf_dir)), key, F.lit("2024-01-01").cast("timestamp"))
-    return mask.snapshot_to_map(unseal(sealed, key))
+    sealed = seal(mask.map_to_pages(_map(spark, sf_dir), size=5), key, F.lit("2024-01-01").cast("timestamp"))
+    return unseal(sealed, key)
+
+
+def q_snapshot(spark, sf_dir):
+    """Map to pages, through the encrypted vault and back to rows."""
+    return mask.snapshot_to_map(_opened(spark, sf_dir))
+
+
+def q_vault_state(spark, sf_dir):
+    return vault_state(_opened(spark, sf_dir))
 
 
 def q_prune_vault(spark, sf_dir):
@@ -686,6 +694,8 @@ def chat_oracles() -> dict[str, str]:
                   UNION ALL SELECT doc_id, k * 2 + 2, substr(text, "end" + 1), false FROM o WHERE last AND "end" < length(text)
                   UNION ALL SELECT doc_id, 0, text, false FROM chat WHERE doc_id NOT IN (SELECT doc_id FROM sp))
             SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS i, text, is_pii FROM e""",
+        "vault_state": f"""{m} SELECT session_id, label, count(DISTINCT (n - 1) // 5) AS pages, count(DISTINCT (n - 1) // 5) AS opened,
+            max(n) AS last, count(*) = max(n) AS complete FROM pmap GROUP BY session_id, label""",
         "snapshot": f"{m} SELECT session_id, label, value, n, placeholder FROM pmap",
         "prune_vault": f"SELECT CAST(session_id AS VARCHAR) AS session_id, ts AS created_at FROM ({CHAT_SQL}) WHERE ts >= TIMESTAMP '1997-06-30 00:00:00' - INTERVAL 720 HOUR",
         "drop_allowlisted": f"""{WITH} SELECT doc_id, type, value FROM sp WHERE NOT (type = 'SSN' AND value IN

@@ -3,8 +3,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from maskwell.operators import chatlogs, ner, stats
-from maskwell.sources.vault import read_vault, unseal, write_vault
+from maskwell.operators import chatlogs, mask, ner, stats
+from maskwell.sources.vault import read_vault, seal, unseal, vault_state, write_vault
 from maskwell.streaming import live
 
 BODIES = [
@@ -247,16 +247,52 @@ def test_spans_go_back_through_mappings(spark):
     assert [s.value for s in back[1]] == ["Ann Lee", "Lee", "- Nam", "plain words"]
 
 
+KEY = b"0123456789abcdef"
+MAP = "session_id string, label string, value string, n int, placeholder string"
+
+
 def test_vault(spark, tmp_path):
-    rows = spark.createDataFrame(
-        [("s", "SSN", "v1", 1, "[SSN_1]"), ("s", "API_KEY", "v2", 1, "[API_KEY_1]")],
-        "session_id string, label string, value string, n int, placeholder string",
-    )
-    write_vault(rows, str(tmp_path / "v"), b"0123456789abcdef")
-    opened = read_vault(spark, str(tmp_path / "v"), b"0123456789abcdef").first().snapshot
-    assert opened == {"[SSN_1]": "v1", "[API_KEY_1]": "v2", "__counter:SSN": "1", "__counter:API_KEY": "1"}
-    stored = spark.read.parquet(str(tmp_path / "v"))
-    assert unseal(stored, b"fedcba9876543210").first().snapshot is None
+    path = str(tmp_path / "v")
+    rows = [("s", "SSN", f"v{i}", i, f"[SSN_{i}]") for i in range(1, 8)] + [("s", "API_KEY", "k", 1, "[API_KEY_1]"), (None, "SSN", "w", 1, "[SSN_1]")]
+    write_vault(spark.createDataFrame(rows[:3], MAP), path, KEY, size=3)
+    write_vault(spark.createDataFrame([*rows, rows[0]], MAP), path, KEY, size=3)
+    pages = read_vault(spark, path, KEY).cache()
+    opened = {(r.session_id, r.label, r.page): r.snapshot for r in pages.collect()}
+    assert opened[("s", "SSN", 2)] == {"[SSN_7]": "v7", "__counter:SSN": "7"} and len(opened) == 5
+    assert opened[(None, "SSN", 0)] == {"[SSN_1]": "w", "__counter:SSN": "1"}
+    back = {tuple(r) for r in mask.snapshot_to_map(pages).select("session_id", "label", "value", "n", "placeholder").collect()}
+    assert back == set(rows)
+    assert {(r.session_id, r.label, r.pages, r.opened, r.complete) for r in vault_state(pages).collect()} == {
+        ("s", "SSN", 3, 3, True), ("s", "API_KEY", 1, 1, True), (None, "SSN", 1, 1, True),
+    }
+    stored = spark.read.parquet(path)
+    assert unseal(stored, b"fedcba9876543210").where("snapshot IS NOT NULL").count() == 0
+
+
+def test_swapped_and_missing_pages_show(spark):
+    rows = [(s, "SSN", f"{s}{i}", i, f"[SSN_{i}]") for s in ("a", "b") for i in range(1, 5)]
+    sealed = seal(mask.map_to_pages(spark.createDataFrame(rows, MAP), size=2), KEY, F.lit("2024-01-01").cast("timestamp")).cache()
+    assert unseal(sealed, KEY).where("snapshot IS NULL").count() == 0
+    one = sealed.select(*sealed.columns[:4], F.col("blob"), "created_at")
+    blob = {(r.session_id, r.page): r.blob for r in one.collect()}
+    for change in (
+        {"session_id": "b"}, {"page": 1}, {"last": 5}, {"label": "IBAN"}, {"created_at": datetime(2024, 1, 2)}, {"blob": blob[("a", 1)]},
+    ):
+        row = one.where("session_id = 'a' AND page = 0").withColumns({c: F.lit(v).cast(dict(one.dtypes)[c]) for c, v in change.items()})
+        assert unseal(row, KEY).first().snapshot is None, change
+    lost = unseal(sealed.where("session_id = 'a' OR page = 0"), KEY)
+    assert {(r.session_id, r.complete) for r in vault_state(lost).collect()} == {("a", True), ("b", False)}
+
+
+def test_the_key_is_in_no_plan(spark):
+    rows = spark.range(30_000).selectExpr("'s' AS session_id", "'SSN' AS label", "string(id) AS value", "int(id + 1) AS n", "concat('[SSN_', id + 1, ']') AS placeholder")
+    pages = mask.map_to_pages(rows)
+    assert pages.select(F.size("snapshot").alias("n")).agg(F.max("n")).first()[0] == 1001 and pages.count() == 30
+    opened = unseal(seal(pages, KEY), KEY)
+    assert opened.where("snapshot IS NOT NULL").count() == 30
+    text = opened._jdf.queryExecution().toString() + opened._jdf.queryExecution().debug().toString()
+    for shown in (KEY.decode(), KEY.hex(), KEY.hex().upper(), str(list(KEY))[1:-1], "30 31 32 33"):
+        assert shown not in text
 
 
 def test_nearest_rank_is_exact(spark):
