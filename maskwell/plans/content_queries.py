@@ -143,6 +143,19 @@ SHAPED_TEXT = "concat(" + pick(C, *(f"concat('so {p} ', {v}, {repr(' years old')
 _PHRASE_TYPES = tuple(dict.fromkeys(g.type for g in PHRASES))
 
 
+def _spelled(phrase: str) -> str:
+    """SQL for a phrase that may hold apostrophes, which the engines quote differently."""
+    return "concat('', " + ", chr(39), ".join(f"'{part}'" for part in phrase.split("'")) + ")"
+
+
+_ANY_PHRASE = pick(C, *(_spelled(p) for _, p in _FREE))
+#: Values of some hundred characters after every phrase, those with an apostrophe included.
+LONG_TEXT = (
+    f"concat('so ', {_ANY_PHRASE}, ' ', c_name, repeat(concat(' ', c_mktsegment), CAST(20 + {C} % 30 AS INT)), "
+    f"{pick(f'({C} // 5)', repr(', then'), repr(' and more'), repr(''), repr('; no'))})"
+)
+
+
 def _phrases(spark, sf_dir, text):
     found = det.detect_spans(customer_texts(spark, sf_dir, text), rules=[], phrases=True)
     return span_rows(found, "id")
@@ -156,6 +169,18 @@ def q_announced_shapes(spark, sf_dir):
     return _phrases(spark, sf_dir, SHAPED_TEXT)
 
 
+def q_announced_long_values(spark, sf_dir):
+    return _phrases(spark, sf_dir, LONG_TEXT)
+
+
+def _long_sql() -> str:
+    at = f"4 + length({_ANY_PHRASE})"
+    value = f"concat(c_name, repeat(concat(' ', c_mktsegment), CAST(20 + {C} % 30 AS INT)))"
+    kind = pick(C, *(f"'{t}'" for t, _ in _FREE))
+    return f"""SELECT {C} AS id, {kind} AS type, {value} AS value, CAST({at} AS INTEGER) AS start,
+        CAST({at} + length({value}) AS INTEGER) AS "end", 0.99 AS confidence FROM customer"""
+
+
 def _free_sql() -> str:
     stop = "|".join(STOP_WORDS)
     value = (
@@ -679,6 +704,20 @@ def q_dialect_answers(spark, sf_dir):
     return chatlogs.assemble_responses(events, dialect=True).select("response_id", "text")
 
 
+def q_dialect_gemini(spark, sf_dir):
+    """The third dialect: candidates with several parts, every other piece in an array's brackets."""
+    pieces = "transform(sequence(0, (length(text) - 1) DIV 40), i -> substr(text, i * 40 + 1, 40))"
+    halves = "array(named_struct('text', left(p, 15)), named_struct('text', substr(p, 16)))"
+    candidate = f"to_json(named_struct('candidates', array(named_struct('content', named_struct('parts', {halves})))))"
+    wrapped = f"if(j % 2 = 0, {candidate}, concat('[', {candidate}, ' ,]'))"
+    frames = f"array_join(transform({pieces}, (p, j) -> concat('data: ', {wrapped}, chr(10), chr(10))), '')"
+    told = talk(spark, sf_dir).where("length(text) > 0").select(
+        F.col("id").alias("response_id"), F.lit("GEMINI").alias("provider"), F.regexp_replace("text", r"\s+", "_").alias("text")
+    )
+    events = chatlogs.sse_events(told.select("response_id", "provider", F.expr(f"concat({frames}, 'data: [DONE]', chr(10))").alias("stream")))
+    return chatlogs.assemble_responses(events, dialect=True).select("response_id", "text")
+
+
 def content_oracles() -> dict[str, str]:
     src = f"SELECT {C} AS id, "
     keyed_type = pick(C, *(f"'{t}'" for t, _ in KEYED))
@@ -718,6 +757,7 @@ def content_oracles() -> dict[str, str]:
             AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]') AND {_entropy_sql('v')} >= {MIN_ENTROPY}""",
         "announced_free_text": _free_sql(),
         "announced_shapes": _shaped_sql(),
+        "announced_long_values": _long_sql(),
         "code_filter": code_filter,
         "excluded_rows": code_filter,
         "excluded_ranges": ranges,
@@ -743,6 +783,7 @@ def content_oracles() -> dict[str, str]:
         "answers_from_files": answers,
         "answers_from_arriving_files": answers,
         "assembled_answers": answers,
+        "dialect_gemini": f"SELECT {conv} AS response_id, regexp_replace(text, '\\s+', '_', 'g') AS text FROM conversations WHERE length(text) > 0",
         "dialect_answers": f"SELECT {conv} AS response_id, regexp_replace(text, '\\s+', '_', 'g') || 'late' AS text FROM conversations WHERE (conv_id + turn) % 8 IN (0, 1)",
     }
 

@@ -11,7 +11,6 @@ from maskwell.rules.identifiers import EMAIL_BODY
 
 PHRASE_ORDER = 96
 PHRASE_CONFIDENCE = 0.99
-MAX_VALUE = 200
 MIN_VALUE = 2
 
 # The phrase must stand at the start of the text or after plain white space.
@@ -125,7 +124,7 @@ def _empty() -> str:
 
 
 def free_text(text: str) -> str:
-    """Quoted value if the quote closes, else up to a delimiter, line end or stop word."""
+    """Quoted value if the quote closes, else up to a delimiter, line end or stop word, whatever its length."""
     groups = [(i, g) for i, g in enumerate(PHRASES) if g.shape is None]
     every = tuple(p for _, g in groups for p in g.phrases)
     entries = ", ".join(
@@ -157,7 +156,7 @@ def free_text(text: str) -> str:
         ),
         let(
             "val",
-            f"left({value}, {MAX_VALUE})",
+            value,
             let(
                 "kind",
                 f"element_at(map({entries}), lower(hit.value))",

@@ -78,7 +78,8 @@ PHRASES = [
     ("ssn: 000567890", []),
     ("cc: 4532 0151 1283 0366 ok", [("CREDIT_CARD", "4532 0151 1283 0366")]),
     ("my name is Bo Li my password is x1", [("PERSON_NAME", "Bo Li my password is x1"), ("PASSWORD", "x1")]),
-    ("address: " + "a" * 250, [("STREET_ADDRESS", "a" * 200)]),
+    ("address: " + "a" * 250 + ", x", [("STREET_ADDRESS", "a" * 250)]),
+    ('my password is "' + "b c" * 100 + '" ok', [("PASSWORD", "b c" * 100)]),
 ]
 
 
