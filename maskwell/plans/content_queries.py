@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.operators import chatlogs, filters, intervals, ner
+from maskwell.operators import chatlogs, filters, intervals, ner, phrasepack
 from maskwell.operators import detect as det
 from maskwell.plans import oracle as sql
 from maskwell.plans import scan
@@ -210,6 +210,30 @@ def _shaped_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+def q_pack_places(spark, sf_dir):
+    """Openings of the documents as a pack of phrases, which grows with the table, and where they stand."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    opening = F.lower(F.regexp_extract("text", OPENING, 0))
+    pack = docs.select(opening.alias("phrase")).where("phrase <> ''").distinct()
+    return phrasepack.phrase_places(docs, pack, counts=phrasepack.word_counts(docs, pack))
+
+
+OPENING = r"^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+"
+
+
+def _pack_sql() -> str:
+    return f"""
+    WITH pack AS (SELECT DISTINCT lower(regexp_extract(text, '{OPENING}')) AS phrase FROM documents WHERE regexp_matches(text, '{OPENING}')),
+    keyed AS (SELECT phrase, split_part(phrase, ' ', 1) || ' ' || split_part(phrase, ' ', 2) AS two, split_part(phrase, ' ', 3) AS third FROM pack),
+    pieces AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k
+               FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[ \\t\\n\\r]') AS ws FROM documents)),
+    placed AS (SELECT doc_id, w, k, sum(length(w) + 1) OVER d - length(w) - 1 AS at0, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM pieces
+               WINDOW d AS (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING), o AS (PARTITION BY doc_id ORDER BY k))
+    SELECT p.doc_id, CAST(at0 AS INTEGER) AS start, CAST(at0 + length(phrase) AS INTEGER) AS "end", phrase
+    FROM placed p JOIN keyed q ON p.w || ' ' || p.w2 = q.two AND starts_with(p.w3, q.third)
+    JOIN documents t ON t.doc_id = p.doc_id AND lower(substr(t.text, CAST(at0 AS INTEGER) + 1, length(phrase))) = phrase"""
+
+
 # ------------------------------------------------------------------------------ code
 
 CODE_TEXT = "concat('ssn ', V, ' then ', {}, ' end')".replace("V", f"concat('2', substr({digits(C, 9)}, 2, 2), '-12-', {digits(C, 4, 7919)})").format(
@@ -758,6 +782,7 @@ def content_oracles() -> dict[str, str]:
         "announced_free_text": _free_sql(),
         "announced_shapes": _shaped_sql(),
         "announced_long_values": _long_sql(),
+        "pack_places": _pack_sql(),
         "code_filter": code_filter,
         "excluded_rows": code_filter,
         "excluded_ranges": ranges,
