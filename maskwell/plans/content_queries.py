@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.operators import chatlogs, filters, intervals, ner, phrasepack
+from maskwell.operators import chatlogs, filters, intervals, ner, phrasepack, prefixes
 from maskwell.operators import detect as det
 from maskwell.plans import oracle as sql
 from maskwell.plans import scan
@@ -234,6 +234,27 @@ def _pack_sql() -> str:
     JOIN documents t ON t.doc_id = p.doc_id AND lower(substr(t.text, CAST(at0 AS INTEGER) + 1, length(phrase))) = phrase"""
 
 
+#: Codes of one to four digits, many inside others, and the suppliers that they stand for.
+_CODE = f"left({digits('s_suppkey', 9)}, CAST(1 + s_suppkey % 4 AS INT))"
+
+
+def q_phone_plans(spark, sf_dir):
+    """Each order's number with the longest code that it begins with."""
+    numbers = spread(spark.read.parquet(f"{sf_dir}/orders.parquet")).selectExpr("o_orderkey AS id", f"{digits('o_orderkey', 10)} AS number")
+    plans = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(f"{_CODE} AS prefix", "s_suppkey AS owner")
+    found = prefixes.longest_prefix(numbers, plans, "number")
+    prefix, owner = F.coalesce("plan.prefix", F.lit("")), F.coalesce("plan.owner", F.lit(-1))
+    return found.select("id", "number", prefix.alias("prefix"), owner.cast("long").alias("owner"))
+
+
+def _plans_sql() -> str:
+    return f"""
+    WITH n AS (SELECT o_orderkey AS id, {digits('o_orderkey', 10)} AS number FROM orders),
+    p AS (SELECT {_CODE} AS prefix, max(s_suppkey) AS owner FROM supplier GROUP BY 1)
+    SELECT id, number, coalesce(prefix, '') AS prefix, coalesce(owner, -1) AS owner FROM n LEFT JOIN p ON starts_with(number, prefix)
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(prefix) DESC) = 1"""
+
+
 # ------------------------------------------------------------------------------ code
 
 CODE_TEXT = "concat('ssn ', V, ' then ', {}, ' end')".replace("V", f"concat('2', substr({digits(C, 9)}, 2, 2), '-12-', {digits(C, 4, 7919)})").format(
@@ -783,6 +804,7 @@ def content_oracles() -> dict[str, str]:
         "announced_shapes": _shaped_sql(),
         "announced_long_values": _long_sql(),
         "pack_places": _pack_sql(),
+        "phone_plans": _plans_sql(),
         "code_filter": code_filter,
         "excluded_rows": code_filter,
         "excluded_ranges": ranges,
