@@ -7,7 +7,8 @@ candidates (see `forest`: all of them in small bands, chains and stars in large
 similarity of their sets, and linked ones form clusters. What these links leave apart in a large band is paired
 as op7 does it (see `neardup.late_pairs`), so that every two classes with a band in common are judged, connected
 or proven apart. In a cluster with more than one paragraph the first
-one, by document id and place, stays; the others are removals.
+one, by document id and place, stays; the others are removals. Passages inside longer lines or over several
+lines are found as stretches of equal words (see `stretches`), which the query returns beside the paragraphs.
 
 Defined results: null and empty texts and shorter lines have no paragraphs here; with fewer words than a shingle a
 paragraph would be one shingle; a null document id takes no part; a paragraph that repeats within
@@ -28,6 +29,7 @@ from maskwell.llm.common import saved, table
 from maskwell.llm.forest import candidates
 from maskwell.llm.neardup import late_pairs
 from maskwell.llm.shingles import MinHash, WordHashes, linked_components, shingle_set, words_of
+from maskwell.llm.stretches import repeated_stretches
 
 MIN_WORDS = 25
 BANDS, ROWS = 16, 4
@@ -114,4 +116,7 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, pe
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated(table(spark, sf_dir, "documents"))
+    """Repeated paragraphs (`kind` paragraph, with `place`) and repeated stretches of words (`kind` stretch)."""
+    docs = table(spark, sf_dir, "documents")
+    lines = repeated(docs).withColumn("kind", F.lit("paragraph"))
+    return lines.unionByName(repeated_stretches(docs).withColumn("kind", F.lit("stretch")), allowMissingColumns=True)
