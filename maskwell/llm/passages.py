@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from maskwell.llm.common import saved, table
 from maskwell.llm.forest import candidates
 from maskwell.llm.neardup import late_pairs
-from maskwell.llm.shingles import MinHash, WordHashes, linked_components, shingle_set, words_of
+from maskwell.llm.shingles import MinHash, WordHashes, linked_components, shingles, words_of
 from maskwell.llm.stretches import repeated_stretches
 
 MIN_WORDS = 25
@@ -36,6 +36,8 @@ BANDS, ROWS = 16, 4
 WIDTH, PERCENT = 5, 80
 #: Classes of a band that are all paired at once.
 SMALL = 8
+#: Paragraphs signed at a time.
+SIGNED = 1000
 
 
 def paragraphs(docs: DataFrame, min_words: int, width: int) -> DataFrame:
@@ -44,8 +46,15 @@ def paragraphs(docs: DataFrame, min_words: int, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sign = WordHashes(), MinHash(BANDS * ROWS, seed=9)
+
+        def bands_of(sets: list[np.ndarray]) -> list[bytes]:
+            begin = np.cumsum([0, *map(len, sets[:-1])])
+            low = sign.of_each(np.concatenate(sets), begin).tobytes()
+            each = [xxhash.xxh3_64_digest(low[i : i + 4 * ROWS]) for i in range(0, len(low), 4 * ROWS)]
+            return [b"".join(each[i : i + BANDS]) for i in range(0, len(each), BANDS)]
+
         for batch in batches:
-            at, place, start, end, size, digest, bands = [], [], [], [], [], [], []
+            at, place, start, end, size, digest, bands, sets = [], [], [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 begin = 0
                 for n, line in enumerate((text or "").split("\n")):
@@ -57,9 +66,13 @@ def paragraphs(docs: DataFrame, min_words: int, width: int) -> DataFrame:
                         end.append(begin + len(line))
                         size.append(len(words))
                         digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                        low = sign(shingle_set(words, width, hashes)).reshape(BANDS, ROWS)
-                        bands.append(b"".join(xxhash.xxh3_64_digest(b.tobytes()) for b in low))
+                        sets.append(shingles(words, width, hashes))
+                        if len(sets) == SIGNED:
+                            bands += bands_of(sets)
+                            sets = []
                     begin += len(line) + 1
+            if sets:
+                bands += bands_of(sets)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(at, pa.int64())),
@@ -90,6 +103,9 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, pe
     rows = classes.select("id", "bands", band).select(
         F.concat(F.unhex(F.lpad(F.hex("band"), 8, "0")), F.expr("substring(bands, band * 8 + 1, 8)")).alias("key"), "id"
     )
+    # Most bands are held by one class only: they pair nothing, and go before rows are sorted and kept.
+    met = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    rows = saved(rows.join(met, "key", "left_semi"))
     pairs = saved(candidates(rows, 3, 3, SMALL))
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     source = docs.select(F.col("doc_id").alias("of"), "text")

@@ -37,6 +37,11 @@ def words_of(text: str) -> list[bytes]:
 
 def shingle_set(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarray:
     """The distinct hashes of `width` words in a row, sorted; of all words where there are fewer."""
+    return np.unique(shingles(words, width, hashes))
+
+
+def shingles(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarray:
+    """The same in the order of the words, with repeats."""
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
@@ -48,7 +53,7 @@ def shingle_set(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarra
         s ^= s >> np.uint64(29)
     s *= _MIX
     s ^= s >> np.uint64(32)
-    return np.unique(s)
+    return s
 
 
 class MinHash:
@@ -67,6 +72,19 @@ class MinHash:
         return (low >> np.uint64(32)).astype(np.uint32)
 
 
+    def of_each(self, sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The minimum hashes, one row each, of the parts of `sets` that begin at `begin`; none may be empty."""
+        low = np.full((len(begin), self.flip.shape[1]), ~np.uint64(0))
+        for at in range(0, len(sets), STEP):
+            h = (sets[at : at + STEP, None] ^ self.flip) * self.times
+            # The part that runs into this piece, then those that begin in it.
+            one, two = np.searchsorted(begin, [at + 1, at + STEP])
+            own = np.concatenate([[0], begin[one:two] - at])
+            part = np.minimum.reduceat(h, own, axis=0)
+            low[one - 1 : two] = np.minimum(low[one - 1 : two], part)
+        return (low >> np.uint64(32)).astype(np.uint32)
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether the sets share at least `percent` of their union."""
     low, high = sorted((len(a), len(b)))
