@@ -1,22 +1,21 @@
 """Stretches of words that stand in more than one place, wherever they lie in a text.
 
-A stretch is made of windows of `LENGTH` words (A-Z lower-cased, line ends are white space), each of which stands in two
-places at least, of one text or of several. All such windows are found, without comparing texts with texts:
-
-1. Winnowing: of every `LENGTH - SEED + 1` shingles in a row the one with the least hash is an anchor, and the
-   `SEED` words from there are a seed. Equal windows hold equal seeds at equal places, so a window that holds no
-   repeated seed is not repeated. Seeds are one row for about sixteen words.
-2. Around repeated seeds every window of `LENGTH` words gets a digest of 128 bits; the repeated ones are counted exactly.
-3. Repeated windows that overlap in a text are one stretch. Stretches with a window in common are one cluster
-   (components over the digests of first windows, so equal stretches are one node). The first by document id and
-   place stays, the others are removals.
-
-Copies of a text are one text with a count from step 2 on, so a group of copies costs as much as one of them, and
-windows that many texts hold are counted where they are before they are moved.
+A stretch is made of windows of `SPAN` words (A-Z lower-cased, line ends are white space), each of which stands in two
+places at least, of one text or of several. Which windows of a text are looked at follows from its words alone
+(winnowing): of every `LENGTH - SPAN + 1` shingles in a row the one with the least hash starts a window. So whatever
+`LENGTH` words stand in two places, both hold the same window at the same place, and it is found. A window costs one
+row for about fourteen words, and no texts are compared.
+
+Windows are equal when their digests of 128 bits are. They are counted where they are before they are moved, so a
+window that many texts hold is no burden. Repeated windows that overlap or touch in a text are one stretch. A window
+starts at least every `LENGTH - SPAN + 1` words (`SPAN` or fewer, so what repeats as a whole is one stretch); a
+stretch may lack fewer than that many words at both ends of what is repeated, and holds no others. Stretches with a window in common are one cluster (components over the digests of first
+windows, so equal stretches are one node). The first by document id and place stays, the others are removals.
+After the count, copies of a text are one text.
 
 Defined results: null and empty texts and those with fewer than `LENGTH` words have no stretch; a null document
 id takes no part; rows that repeat an id and a text are copies; an id with two texts has the stretches of both;
-windows that overlap their own copies (a word over and over) are one stretch, alone in its cluster and not removed.
+windows that overlap or touch their own copies (a word over and over) are one stretch, alone in its cluster and not removed.
 Columns beside doc_id and text are ignored.
 """
 
@@ -34,8 +33,9 @@ from maskwell.llm.common import saved
 from maskwell.llm.graph import components
 from maskwell.llm.shingles import WordHashes, words_of
 
-LENGTH, SEED, WIDTH = 50, 20, 5
-#: Windows and output rows worked on at a time.
+#: Words in a row that are found wherever they repeat, words of a window, words of a shingle.
+LENGTH, SPAN, WIDTH = 51, 26, 5
+#: Shingles and output rows worked on at a time.
 STEP = 50_000
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _SPACE = np.zeros(256, bool)
@@ -57,9 +57,9 @@ def runs_from(h: np.ndarray, at: np.ndarray, width: int, factor: np.uint64) -> n
     return s ^ (s >> np.uint64(32))
 
 
-def anchors(h: np.ndarray, length: int, seed: int, width: int = WIDTH) -> np.ndarray:
-    """Places of the least shingle of every `length - seed + 1` in a row, the first of equal ones."""
-    reach = length - seed + 1
+def anchors(h: np.ndarray, length: int, span: int, width: int = WIDTH) -> np.ndarray:
+    """Places of the least shingle of every `length - span + 1` in a row, the first of equal ones."""
+    reach = length - span + 1
     if len(h) < length:
         return np.zeros(0, np.int64)
     s = runs_from(h, np.arange(len(h) - width + 1), width, _FACTORS[0])
@@ -68,7 +68,7 @@ def anchors(h: np.ndarray, length: int, seed: int, width: int = WIDTH) -> np.nda
         views = sliding_window_view(s[at : at + STEP + reach - 1], reach)
         least.append(np.unique(views.argmin(axis=1) + np.arange(at, at + len(views))))
     found = np.unique(np.concatenate(least))
-    return found[found + seed <= len(h)]
+    return found[found + span <= len(h)]
 
 
 def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -80,90 +80,59 @@ def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
     return points[edges[::2]], points[edges[1::2]]
 
 
-def seeds(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """of (the text's digest), at (first word), seed for every seed of the texts of (of, text)."""
+def windows(texts: DataFrame, length: int, span: int) -> DataFrame:
+    """of, at (first word), start, end (code points), digest for every chosen window of the texts of (of, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            rows, places, values = [], [], []
+            rows, parts = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                h = word_hashes(text or "", hashes)
-                at = anchors(h, length, seed)
+                h = word_hashes(text, hashes)
+                at = anchors(h, length, span)
                 if len(at):
+                    start, end = word_places(text)
                     rows.append(np.full(len(at), i))
-                    places.append(at)
-                    values.append(runs_from(h, at, seed, _FACTORS[1]).view(np.int64))
-            if rows:
-                row, place, value = np.concatenate(rows), np.concatenate(places), np.concatenate(values)
-                for k in range(0, len(row), STEP):
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(row[k : k + STEP])), pa.array(place[k : k + STEP]), pa.array(value[k : k + STEP])],
-                        names=["of", "at", "seed"],
-                    )
-
-    return docs.select("of", "text").mapInArrow(run, "of binary, at bigint, seed bigint")
-
-
-def windows(texts: DataFrame, length: int, seed: int) -> DataFrame:
-    """of, n, at, start, end (code points), digest for the windows that hold a seed, of (of, n, hits, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        before = np.arange(seed - length, 1)
-        for batch in batches:
-            of, n, hits, texts = batch.columns
-            for i, text in enumerate(texts.to_pylist()):
-                h = word_hashes(text, hashes)
-                start, end = word_places(text)
-                wanted = np.zeros(len(h) - length + 1, bool)
-                held = hits[i].values.to_numpy()
-                for k in range(0, len(held), STEP):
-                    near = (held[k : k + STEP, None] + before).ravel()
-                    wanted[near[(near >= 0) & (near < len(wanted))]] = True
-                places = np.nonzero(wanted)[0]
-                for k in range(0, len(places), STEP):
-                    at = places[k : k + STEP]
-                    both = np.stack([runs_from(h, at, length, f) for f in _FACTORS], axis=1)
-                    digest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(both.tobytes())])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([of[i].as_py()] * len(at), pa.binary()),
-                            pa.array(np.full(len(at), n[i].as_py())),
-                            pa.array(at),
-                            pa.array(start[at].astype(np.int64)),
-                            pa.array(end[at + length - 1].astype(np.int64)),
-                            digest.cast(pa.binary()),
-                        ],
-                        names=["of", "n", "at", "start", "end", "digest"],
-                    )
-
-    schema = "of binary, n bigint, at bigint, start bigint, end bigint, digest binary"
-    return texts.select("of", "n", "hits", "text").mapInArrow(run, schema)
-
-
-def repeated_stretches(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+                    parts.append((at, start[at], end[at + span - 1], *(runs_from(h, at, span, f) for f in _FACTORS)))
+            if not rows:
+                continue
+            row = np.concatenate(rows)
+            at, start, end, high, low = (np.concatenate(p) for p in zip(*parts, strict=True))
+            for k in range(0, len(row), STEP):
+                cut = slice(k, k + STEP)
+                both = np.stack([high[cut], low[cut]], axis=1)
+                digest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(both), [None, pa.py_buffer(both.tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(row[cut])),
+                        *(pa.array(c[cut].astype(np.int32)) for c in (at, start, end)),
+                        digest.cast(pa.binary()),
+                    ],
+                    names=["of", "at", "start", "end", "digest"],
+                )
+
+    return texts.select("of", "text").mapInArrow(run, "of binary, at int, start int, end int, digest binary")
+
+
+def repeated_stretches(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFrame:
     """Every stretch: doc_id, start, end (code points), n_words, cluster_doc_id, cluster_start (of the one that
     stays), n_members, removed."""
     named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.unhex(F.md5("text")).alias("of"), "doc_id", "text")
     known = saved(named.select("of", "doc_id"))
     classes = known.groupBy("of").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    sown = saved(seeds(named, length, seed))
-    twice = sown.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
-    hits = sown.join(twice, "seed", "left_semi").groupBy("of").agg(F.collect_set("at").alias("hits"))
-    wanted = hits.join(classes, "of").select(F.col("of").alias("class"), "low", "n", "hits")
-    texts = named.join(wanted, (F.col("doc_id") == F.col("low")) & (F.col("of") == F.col("class")))
-    found = saved(windows(texts, length, seed))
-    again = found.groupBy("digest").agg(F.sum("n").alias("places")).filter("places > 1").select("digest")
-    inside = found.join(again, "digest", "left_semi")
+    found = saved(windows(named, length, span))
+    again = found.groupBy("digest").agg(F.count("*").alias("places")).filter("places > 1").select("digest")
+    inside = found.join(again, "digest", "left_semi").distinct()
 
     order = Window.partitionBy("of").orderBy("at")
-    begins = F.when(F.col("at") - F.lag("at").over(order) < length, 0).otherwise(1)
+    begins = F.when(F.col("at") - F.lag("at").over(order) <= span, 0).otherwise(1)
     islands = inside.withColumn("begins", begins).withColumn("island", F.sum("begins").over(order))
     first = F.first("digest").over(Window.partitionBy("of", "island").orderBy("at"))
-    islands = saved(islands.withColumn("first", first).drop("begins", "n"))
+    islands = saved(islands.withColumn("first", first).drop("begins"))
     spans = islands.groupBy("of", "island", "first").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + length).alias("n_words")
+        F.min("start").cast("bigint").alias("start"),
+        F.max("end").cast("bigint").alias("end"),
+        (F.max("at") - F.min("at") + span).cast("bigint").alias("n_words"),
     )
     held = islands.select("first", "digest").distinct()
     shared = held.groupBy("digest").agg(F.min("first").alias("b"), F.max("first").alias("high")).filter("b < high").drop("high")

@@ -4,33 +4,38 @@ import numpy as np
 
 from maskwell.llm import stretches
 from maskwell.llm.common import saved
-
-
-def brute(rows, length):
-    """(doc_id, start, end, n_words) of every union of overlapping windows that stand in two places."""
-    seen, places = {}, []
-    for row, (doc, text) in enumerate(rows):
-        if doc is None:
-            continue
-        words = [(m.group().encode().lower(), m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
-        for i in range(len(words) - length + 1):
-            window = tuple(w for w, _, _ in words[i : i + length])
-            seen[window] = seen.get(window, 0) + 1
-            places.append((row, i, words[i][1], words[i + length - 1][2], window))
-    out, last = [], None
-    for row, i, start, end, window in places:
-        if seen[window] < 2:
-            continue
-        if last and last[0] == row and i - last[1] < length:
-            out[-1] = (*out[-1][:2], end, out[-1][3] + i - last[1])
-        else:
-            out.append((rows[row][0], start, end, length))
-        last = (row, i)
-    return sorted(out)
-
-
-def results(frame):
-    return sorted((r.doc_id, r.start, r.end, r.n_words) for r in frame.collect())
+from maskwell.llm.shingles import MinHash
+
+
+def brute(rows, length, span):
+    """All windows of `length` words by (doc_id, start, end), and the repeated ones; the same for `span`."""
+    out = []
+    for width in (length, span):
+        seen, places = {}, []
+        for doc, text in rows:
+            words = [(m.group().encode().lower(), m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+            for i in range(len(words) - width + 1 if doc is not None else 0):
+                window = tuple(w for w, _, _ in words[i : i + width])
+                seen[window] = seen.get(window, 0) + 1
+                places.append((doc, words[i][1], words[i + width - 1][2], window))
+        out.append({p[:3] for p in places if seen[p[3]] > 1})
+    return out
+
+
+def holds(found, rows, length, span):
+    """Every repeated window of `length` words meets a stretch of `span` of its words at least, and what a stretch
+    covers is covered by repeated windows of `span` words."""
+    whole, parts = brute(rows, length, span)
+    every = [(r.doc_id, r.start, r.end) for r in found]
+    texts = {}
+    for d, t in rows:
+        texts.setdefault(d, []).append(t or "")
+    for d, a, b in whole:
+        assert any(max(len(t[max(a, c) : min(b, e)].split()) for t in texts[d]) >= span for x, c, e in every if x == d), (d, a, b)
+    for d, c, e in every:
+        inside = sorted((a, b) for x, a, b in parts if x == d and c <= a and b <= e)
+        assert inside[0][0] == c and max(b for _, b in inside) == e
+        assert all(b[0] <= 1 + max(x[1] for x in inside[: k + 1]) for k, b in enumerate(inside[1:]))
 
 
 def texts(random):
@@ -59,21 +64,28 @@ def test_stretches_equal_brute_force(spark):
     shuffled = [some(400) for _ in range(4)]
     rows += [(100 + i, " ".join(sum((p[a : a + 70] for p, a in zip(shuffled, random.integers(0, 330, 4))), []))) for i in range(25)]
     frame = saved(spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS digest", "2 AS `of`", "3 AS n"))
-    assert results(stretches.repeated_stretches(frame)) == brute(rows, 50)
-    assert results(stretches.repeated_stretches(frame, length=30, seed=12)) == brute(rows, 30)
+    for length, span in ((51, 26), (30, 16)):
+        found = stretches.repeated_stretches(frame, length, span).collect()
+        assert len(found) > 60
+        holds(found, rows, length, span)
 
 
 def test_clusters_of_stretches(spark):
+    """Passages of 60 words in three places, of 51 in two, of 24 in two, and three copies."""
     random = np.random.default_rng(4)
-    rows, _ = texts(random)
-    frame = saved(spark.createDataFrame([r for r in rows if r[0] != 24], "doc_id bigint, text string"))
-    out = stretches.repeated_stretches(frame).collect()
+    words = [f"w{i}" for i in range(5000)]
+    def some(n):
+        return list(random.choice(words, n))
+
+    passage, limit, short, copy = some(60), some(51), some(24), " ".join(some(80))
+    rows = [(1, some(30) + passage + some(20)), (2, some(9) + passage), (3, passage)]
+    rows += [(4, some(7) + limit), (5, limit + some(5)), (6, some(40) + short), (7, short + some(40))]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(10 + i, copy) for i in range(3)]
+    frame = saved(spark.createDataFrame(rows, "doc_id bigint, text string"))
     by = {}
-    for r in out:
+    for r in stretches.repeated_stretches(frame).collect():
         by.setdefault((r.cluster_doc_id, r.cluster_start), []).append(r)
-    assert sorted(sorted(r.doc_id for r in g) for g in by.values()) == [
-        [1, 2, 3], [4, 5], [8, 9], [8, 9], [9, 10, 11, 12], [20]
-    ]
+    assert sorted(sorted(r.doc_id for r in g) for g in by.values()) == [[1, 2, 3], [4, 5], [10, 11, 12]]
     for group in by.values():
         assert all(r.n_members == len(group) for r in group)
         assert [(r.doc_id, r.start) for r in group if not r.removed] == [min((r.doc_id, r.start) for r in group)]
@@ -85,9 +97,10 @@ def test_string_ids_long_texts_and_empty_tables(spark):
     rows = [("a", " ".join(words)), ("b", " ".join(words)), ("c", "x " * 90 + " ".join(words[60_000:60_080]))]
     frame = saved(spark.createDataFrame(rows, "doc_id string, text string"))
     found = stretches.repeated_stretches(frame).collect()
-    assert sorted((r.doc_id, r.n_words, r.n_members) for r in found) == [
-        ("a", 120_000, 3), ("b", 120_000, 3), ("c", 80, 3), ("c", 90, 1)
-    ]
+    a, b, quote, own = sorted(found, key=lambda r: (r.doc_id, -r.start))
+    assert (a.n_words, a.start, a.end, a.n_members) == (b.n_words, b.start, b.end, 3) and a.n_words > 119_900
+    assert b.removed and not a.removed and quote.removed and (quote.cluster_doc_id, 26 <= quote.n_words <= 80) == ("a", True)
+    assert (own.start, own.n_members, own.removed) == (0, 1, False)
     assert stretches.repeated_stretches(frame.limit(0)).count() == 0
 
 
@@ -95,8 +108,17 @@ def test_every_window_of_the_length_holds_an_anchor():
     random = np.random.default_rng(5)
     for high in (1 << 62, 3):
         h = random.integers(0, high, 3000).astype(np.uint64)
-        found = stretches.anchors(h, 50, 20)
-        for i in range(len(h) - 49):
-            inside = found[(found >= i) & (found + 20 <= i + 50)] - i
-            alone = stretches.anchors(h[i : i + 50], 50, 20)
+        found = stretches.anchors(h, 51, 26)
+        for i in range(len(h) - 50):
+            inside = found[(found >= i) & (found + 26 <= i + 51)] - i
+            alone = stretches.anchors(h[i : i + 51], 51, 26)
             assert len(inside) and set(alone) <= set(inside)
+
+
+def test_signatures_of_many_sets_at_once():
+    random = np.random.default_rng(6)
+    sign = MinHash(12, seed=9)
+    sizes = [1, 3, 1500, 1, 1023, 1, 1024, 40, 2500, 1]
+    sets = [random.integers(0, 1 << 63, n, np.uint64) for n in sizes]
+    got = sign.of_each(np.concatenate(sets), np.cumsum([0, *sizes[:-1]]))
+    assert (got == np.stack([sign(s) for s in sets])).all()
